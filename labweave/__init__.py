@@ -5,6 +5,13 @@ objects and stays lazy unless its docstring names the small statistic it
 collects.
 """
 
-from labweave.session import build_session, shared_dir
+import sys
 
-__all__ = ["build_session", "shared_dir"]
+from pyspark import cloudpickle
+
+from labweave.session import build_session, local_table, shared_dir
+
+# batch functions travel to the workers by value, so these need no installed copy
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+__all__ = ["build_session", "local_table", "shared_dir"]

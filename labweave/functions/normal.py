@@ -1,10 +1,10 @@
-"""Inverse normal distribution as a Column expression."""
+"""Inverse normal distribution as Column expressions."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labweave.fixed_values import NORMAL_CENTRE, NORMAL_MIDDLE, NORMAL_TAIL
@@ -15,13 +15,18 @@ def _ratio(coefficients, x: Column) -> Column:
     return top / bottom
 
 
-def normal_quantile(p: Column) -> Column:
-    """Standard normal quantile for 0 < p < 1 (about 16 digits)."""
-    q = p - 0.5
-    tail = F.sqrt(-F.log(F.when(q < 0, p).otherwise(1.0 - p)))
+def with_normal_quantile(df: DataFrame, p: Column, name: str) -> DataFrame:
+    """Add the standard normal quantile of 0 < p < 1 (about 16 digits).
+
+    Works in three projections: one nested expression would repeat ``p`` dozens of times
+    and outgrow generated code.
+    """
+    q, tail = F.col("_q"), F.col("_tail")
+    staged = df.withColumn("_p", p).withColumn("_q", F.col("_p") - 0.5)
+    staged = staged.withColumns({
+        "_centre": F.lit(0.180625) - q * q,
+        "_tail": F.sqrt(-F.log(F.least(F.col("_p"), 1.0 - F.col("_p")))),
+    })
     size = F.when(tail <= 5.0, _ratio(NORMAL_MIDDLE, tail - 1.6)).otherwise(_ratio(NORMAL_TAIL, tail - 5.0))
-    return (
-        F.when(F.abs(q) <= 0.425, q * _ratio(NORMAL_CENTRE, F.lit(0.180625) - q * q))
-        .when(q < 0, -size)
-        .otherwise(size)
-    )
+    value = F.when(F.abs(q) <= 0.425, q * _ratio(NORMAL_CENTRE, F.col("_centre"))).otherwise(F.signum(q) * size)
+    return staged.withColumn(name, value).drop("_p", "_q", "_centre", "_tail")

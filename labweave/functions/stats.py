@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+STATS = "_stats"
+
 
-def table_stats(df: DataFrame, **aggregates: Column) -> Mapping[str, Column]:
-    """One-row aggregates of ``df`` as columns usable in any select.
+def with_stats(df: DataFrame, source: DataFrame, **aggregates: Column) -> DataFrame:
+    """Add the struct column ``_stats`` with one-row aggregates of ``source``.
 
-    They become a single scalar subquery: Spark runs it once ahead of the main
-    query and hands the values over as constants.
+    The aggregates form one scalar subquery: Spark runs it once ahead of the main query
+    and hands the struct over as a constant. Read it with ``stat(name)``, drop it after.
     """
-    row = df.select(F.struct(*[a.alias(k) for k, a in aggregates.items()])).scalar()
-    return {name: row[name] for name in aggregates}
+    row = source.select(F.struct(*[a.alias(k) for k, a in aggregates.items()])).scalar()
+    return df.withColumn(STATS, row)
+
+
+def stat(name: str) -> Column:
+    return F.col(f"{STATS}.{name}")

@@ -12,11 +12,11 @@ from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labweave.functions.stats import table_stats
+from labweave.functions.stats import stat, with_stats
 from labweave.operators.columns import quoted
 from labweave.operators.quantiles import column_quantiles
 from labweave.operators.rows import sample_rows, top_k
-from labweave.session import shared_dir
+from labweave.session import local_table, shared_dir
 
 BASE = "(base)"
 MAX_GRID = 10_000
@@ -79,11 +79,9 @@ def to_contributions(wide: DataFrame, key: str, features: Sequence[str], contrib
 
 def linear_shapley(df: DataFrame, key: str, features: Sequence[str], model: LinearRegressionModel) -> DataFrame:
     """``coef * (x - mean)`` per row and feature: exact for a linear model."""
-    means = table_stats(df, **{f"m{i}": F.avg(quoted(c)) for i, c in enumerate(features)})
-    parts = {
-        c: F.lit(float(model.coefficients[i])) * (F.col(quoted(c)) - means[f"m{i}"]) for i, c in enumerate(features)
-    }
-    return to_contributions(df, key, features, parts)
+    known = with_stats(df, df, **{f"m{i}": F.avg(quoted(c)) for i, c in enumerate(features)})
+    parts = {c: F.lit(float(model.coefficients[i])) * (F.col(quoted(c)) - stat(f"m{i}")) for i, c in enumerate(features)}
+    return to_contributions(known, key, features, parts)
 
 
 def node_table(model: Transformer) -> tuple[DataFrame, bool]:
@@ -93,7 +91,7 @@ def node_table(model: Transformer) -> tuple[DataFrame, bool]:
     model.write().overwrite().save(path)
     nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
     weights = dict(enumerate(model.treeWeights))
-    table = spark.createDataFrame(list(weights.items()), "treeID int, weight double")
+    table = local_table(spark, list(weights.items()), "treeID int, weight double")
     return nodes.join(F.broadcast(table), "treeID"), "RandomForest" in type(model).__name__
 
 
@@ -102,7 +100,7 @@ def _tree_arrays(model: Transformer) -> list[dict]:
     nodes, averaged = node_table(model)
     rows = nodes.select(
         "treeID", "id", "prediction", "leftChild", "rightChild", "weight",
-        F.col("split.featureIndex").alias("f"), F.col("split.leftCategoriesOrThreshold")[0].alias("t"),
+        F.col("split.featureIndex").alias("f"), F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("t"),
         F.col("split.numCategories").alias("c"),
     ).toPandas()
     if (rows["c"] > -1).any():
@@ -177,37 +175,37 @@ def sampled_shapley(
     plan = F.array(
         *[
             F.struct(
-                F.lit(m).alias("m"), F.lit(k).alias("k"),
-                F.array(*[F.lit(orders[m].index(j) < k) for j in range(p)]).alias("own"),
-                F.lit(orders[m][k - 1] if k else p).alias("gains"),
-                F.lit(orders[m][k] if k < p else -1).alias("loses"),
+                F.lit(m).alias("_m"),
+                F.array(*[F.lit(orders[m].index(j) < k) for j in range(p)]).alias("_own"),
+                F.lit(orders[m][k - 1] if k else p).alias("_gains"),
+                F.lit(orders[m][k] if k < p else -1).alias("_loses"),
             )
             for m in range(permutations)
             for k in range(p + 1)
         ]
     )
-    pick = F.pmod(F.xxhash64(F.col(quoted(key)), F.col("m"), F.lit(seed)), F.lit(len(rows))).cast("int")
+    pick = F.pmod(F.xxhash64(F.col(quoted(key)), F.col("_m"), F.lit(seed)), F.lit(len(rows))).cast("int")
     wide = df.select(quoted(key), *[F.col(quoted(c)).cast("double").alias(f"_x{j}") for j, c in enumerate(features)], F.inline(plan))
     wide = wide.withColumn("_b", F.element_at(backgrounds, pick + 1))
     inputs = wide.select(
-        quoted(key), "gains", "loses",
-        *[F.when(F.col("own")[j], F.col(f"_x{j}")).otherwise(F.col("_b")[j]).alias(c) for j, c in enumerate(features)],
+        quoted(key), "_gains", "_loses",
+        *[F.when(F.col("_own")[j], F.col(f"_x{j}")).otherwise(F.col("_b")[j]).alias(c) for j, c in enumerate(features)],
     )
     scored = model.transform(inputs).select(
         quoted(key),
         F.inline(
             F.array(
-                F.struct(F.col("gains").alias("j"), F.col(prediction).alias("part")),
-                F.struct(F.col("loses").alias("j"), (-F.col(prediction)).alias("part")),
+                F.struct(F.col("_gains").alias("_j"), F.col(prediction).alias("_part")),
+                F.struct(F.col("_loses").alias("_j"), (-F.col(prediction)).alias("_part")),
             )
         ),
     )
     names = F.array(*[F.lit(c) for c in [*features, BASE]])
     return (
-        scored.filter(F.col("j") >= 0)
-        .groupBy(quoted(key), "j")
-        .agg((F.sum("part") / permutations).alias("contribution"))
-        .select(quoted(key), F.element_at(names, F.col("j") + 1).alias("feature"), "contribution")
+        scored.filter(F.col("_j") >= 0)
+        .groupBy(quoted(key), "_j")
+        .agg((F.sum("_part") / permutations).alias("contribution"))
+        .select(quoted(key), F.element_at(names, F.col("_j") + 1).alias("feature"), "contribution")
     )
 
 

@@ -19,6 +19,7 @@ from labweave.functions.lowdiscrepancy import MAX_DIMENSIONS, sobol_value
 from labweave.ml.prep import assembler
 from labweave.operators.metrics import regression_metrics
 from labweave.operators.rows import best_by_rank
+from labweave.session import local_table
 
 Build = Callable[[DataFrame], Estimator]
 Score = Callable[[DataFrame], DataFrame]
@@ -121,7 +122,7 @@ def search(
         rows = run_parallel(spark, [lambda k=k: trial(k) for k in range(len(candidates))], parallelism)
     finally:
         cached.unpersist()
-    return spark.createDataFrame(rows, "trial int, params map<string,string>, mean_score double, std_score double, status string")
+    return local_table(spark, rows, "trial int, params map<string,string>, mean_score double, std_score double, status string")
 
 
 def best_candidate(results: DataFrame, candidates: Sequence[Mapping]) -> Mapping:
@@ -208,7 +209,7 @@ def eliminate_features(
         best = min(by_size, key=lambda size: (-float(np.mean(by_size[size])), size)) if by_size else least
         _, order = path(cached, best, None)
         rows = [(name, rank, rank == 1, features.index(name)) for rank, names in enumerate(order, start=1) for name in names]
-        ranking = spark.createDataFrame(rows, "feature string, rank int, selected boolean, position int")
+        ranking = local_table(spark, rows, "feature string, rank int, selected boolean, position int")
 
         def at_size(n: int) -> tuple:
             chosen = [r.feature for r in best_by_rank(ranking, [], "rank", "position", n).collect()] if n != best else order[0]
@@ -224,4 +225,4 @@ def eliminate_features(
         )
     finally:
         cached.unpersist()
-    return ranking.drop("position"), spark.createDataFrame(curve, "n_features int, r2 double, rmse double")
+    return ranking.drop("position"), local_table(spark, curve, "n_features int, r2 double, rmse double")

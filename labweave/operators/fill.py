@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labweave.functions.cleaning import nan_to_null
-from labweave.functions.stats import table_stats
+from labweave.functions.stats import STATS, stat, with_stats
 from labweave.operators.columns import quoted
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -33,5 +33,5 @@ def fill_constants(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 def fill_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Nulls (and NaN) become the column mean: one aggregate pass, no join."""
     clean = df.withColumns({c: nan_to_null(F.col(quoted(c)).cast("double")) for c in columns})
-    stats = table_stats(clean, **{f"m{i}": F.avg(quoted(c)) for i, c in enumerate(columns)})
-    return clean.withColumns({c: F.coalesce(F.col(quoted(c)), stats[f"m{i}"]) for i, c in enumerate(columns)})
+    clean = with_stats(clean, clean, **{f"m{i}": F.avg(quoted(c)) for i, c in enumerate(columns)})
+    return clean.withColumns({c: F.coalesce(F.col(quoted(c)), stat(f"m{i}")) for i, c in enumerate(columns)}).drop(STATS)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from labweave.functions.cleaning import strip
 from labweave.operators.columns import insert_after, quoted
+from labweave.session import local_table
 
 BROADCAST_ROWS = 100_000
 LITERAL_ROWS = 10_000
@@ -28,7 +29,7 @@ def dimension(spark: SparkSession, rows: Mapping[str, tuple], key: str, attribut
     first = next(iter(rows.values()))
     kinds = ["int" if isinstance(v, int) else "double" for v in first]
     schema = f"{key} string, " + ", ".join(f"{a} {k}" for a, k in zip(attributes, kinds))
-    return spark.createDataFrame([(k, *v) for k, v in rows.items()], schema)
+    return local_table(spark, [(k, *v) for k, v in rows.items()], schema)
 
 
 def lookup(
@@ -90,7 +91,7 @@ def lookup_after(df: DataFrame, dim: DataFrame, key: str, dim_key: str, attribut
 def unmap_names(names: DataFrame, name_map: Mapping[str, str], column: str = "feature") -> tuple[DataFrame, DataFrame]:
     """Codes back to full names: ``(matched, unmatched)``; the map is a literal."""
     spark = names.sparkSession
-    pairs = F.broadcast(spark.createDataFrame([(c, n) for n, c in name_map.items()], "_code string, full_name string"))
+    pairs = F.broadcast(local_table(spark, [(c, n) for n, c in name_map.items()], "_code string, full_name string"))
     condition = F.col(column) == F.col("_code")
     return names.join(pairs, condition, "inner").drop("_code"), names.join(pairs, condition, "left_anti")
 
@@ -107,7 +108,7 @@ def name_pairs(spark: SparkSession, names: Sequence[str], outputs: Sequence[str]
         for i, j in combinations(range(len(names)), 2)
         for out in (outputs or [None])
     ]
-    return spark.createDataFrame(rows, "i int, j int, name_i string, name_j string, output string")
+    return local_table(spark, rows, "i int, j int, name_i string, name_j string, output string")
 
 
 def attach_grid(df: DataFrame, points: Column) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labweave.functions.cleaning import nan_to_null
-from labweave.functions.normal import normal_quantile
-from labweave.functions.stats import table_stats
+from labweave.functions.normal import with_normal_quantile
+from labweave.functions.stats import stat, with_stats
 from labweave.operators.quantiles import with_global_rank
 
 
@@ -51,10 +51,9 @@ def median_positions(rank: Column, n: Column) -> Column:
 def normal_qq(df: DataFrame, residual: str, key: str) -> DataFrame:
     """``(key, rank, theoretical, ordered)``: residuals against normal quantiles."""
     present = df.select(key, residual).filter(F.col(residual).isNotNull())
-    n = table_stats(present, n=F.count(F.lit(1)))["n"]
-    ranked = with_global_rank(present, residual, key)
-    return ranked.select(
-        key, "rank", normal_quantile(median_positions(F.col("rank"), n)).alias("theoretical"), F.col(residual).alias("ordered")
+    ranked = with_stats(with_global_rank(present, residual, key), present, n=F.count(F.lit(1)))
+    return with_normal_quantile(ranked, median_positions(F.col("rank"), stat("n")), "theoretical").select(
+        key, "rank", "theoretical", F.col(residual).alias("ordered")
     )
 
 
@@ -70,8 +69,7 @@ def qq_line(qq: DataFrame) -> DataFrame:
 def predicted_vs_actual(df: DataFrame, actual: str, predicted: str, keys: Sequence[str] = ()) -> DataFrame:
     """Points of the predicted-vs-actual chart with the ends of the identity line."""
     y, p = F.col(actual), F.col(predicted)
-    stats = table_stats(df, lo=F.least(F.min(y), F.min(p)), hi=F.greatest(F.max(y), F.max(p)))
-    return df.select(
+    return with_stats(df, df, lo=F.least(F.min(y), F.min(p)), hi=F.greatest(F.max(y), F.max(p))).select(
         *keys, y.alias("actual"), p.alias("predicted"), (y - p).alias("residual"),
-        stats["lo"].alias("line_lo"), stats["hi"].alias("line_hi"),
+        stat("lo").alias("line_lo"), stat("hi").alias("line_hi"),
     )

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labweave.functions.stats import table_stats
+from labweave.functions.stats import stat, with_stats
 from labweave.operators.columns import quoted
 
 PAIR_SCHEMA = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
@@ -32,8 +32,8 @@ def _pair_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def centred(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The columns as doubles minus their means, so that sums of squares keep their digits."""
-    means = table_stats(df, **{f"m{i}": F.avg(quoted(c)) for i, c in enumerate(columns)})
-    return df.select(*[(F.col(quoted(c)).cast("double") - means[f"m{i}"]).alias(f"c{i}") for i, c in enumerate(columns)])
+    known = with_stats(df, df, **{f"m{i}": F.avg(quoted(c)) for i, c in enumerate(columns)})
+    return known.select(*[(F.col(quoted(c)).cast("double") - stat(f"m{i}")).alias(f"c{i}") for i, c in enumerate(columns)])
 
 
 def pair_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labweave.functions.binning import bin_interval, right_closed_bin
-from labweave.functions.stats import table_stats
+from labweave.functions.stats import STATS, stat, with_stats
 from labweave.operators.columns import quoted
 from labweave.operators.moments import pair_correlation, pair_moments
 from labweave.operators.quantiles import group_quantiles
@@ -112,9 +112,25 @@ def with_frequency(df: DataFrame, column: str, name: str = "frequency") -> DataF
 def with_bin(df: DataFrame, column: str, bins: int = 5, name: str = "bin", interval: bool = False) -> DataFrame:
     """Equal-width right-closed bin number (or interval struct) over the column's range."""
     value = F.col(quoted(column)).cast("double")
-    stats = table_stats(df, lo=F.min(value), hi=F.max(value))
-    number = right_closed_bin(value, stats["lo"], stats["hi"], bins)
-    return df.withColumn(name, bin_interval(number, stats["lo"], stats["hi"], bins) if interval else number)
+    known = with_stats(df, df, lo=F.min(value), hi=F.max(value))
+    binned = known.withColumn(name, right_closed_bin(value, stat("lo"), stat("hi"), bins))
+    if interval:
+        binned = binned.withColumn(name, bin_interval(F.col(quoted(name)), stat("lo"), stat("hi"), bins))
+    return binned.drop(STATS)
+
+
+def _ranges(columns: Sequence[str]) -> dict:
+    return {
+        **{f"lo{i}": F.min(quoted(c)).cast("double") for i, c in enumerate(columns)},
+        **{f"hi{i}": F.max(quoted(c)).cast("double") for i, c in enumerate(columns)},
+    }
+
+
+def _all_bins(columns: Sequence[str], bins: int) -> list:
+    return [
+        right_closed_bin(F.col(quoted(c)).cast("double"), stat(f"lo{i}"), stat(f"hi{i}"), bins).alias(f"b{i}")
+        for i, c in enumerate(columns)
+    ]
 
 
 def bin_distribution(df: DataFrame, column: str, target: str, probabilities: Sequence[float], bins: int = 5) -> DataFrame:
@@ -135,17 +151,7 @@ def pair_histograms(df: DataFrame, columns: Sequence[str], bins: int = 10) -> Da
     Rows fan out to one narrow struct per pair and are combined in the task, so the
     shuffle holds at most ``pairs * bins**2`` rows per task.
     """
-    stats = table_stats(
-        df,
-        **{f"lo{i}": F.min(quoted(c)).cast("double") for i, c in enumerate(columns)},
-        **{f"hi{i}": F.max(quoted(c)).cast("double") for i, c in enumerate(columns)},
-    )
-    binned = df.select(
-        *[
-            right_closed_bin(F.col(quoted(c)).cast("double"), stats[f"lo{i}"], stats[f"hi{i}"], bins).alias(f"b{i}")
-            for i, c in enumerate(columns)
-        ]
-    )
+    binned = with_stats(df, df, **_ranges(columns)).select(*_all_bins(columns, bins))
     cells = [
         F.struct(
             F.lit(columns[i]).alias("name_i"),
@@ -181,17 +187,8 @@ def response_surface(df: DataFrame, x: str, y: str, z: str, cells: int = 100) ->
 
 def response_surfaces(df: DataFrame, inputs: Sequence[str], outputs: Sequence[str], cells: int = 100) -> DataFrame:
     """The surface of every (input pair, output) in one scan and one aggregate."""
-    stats = table_stats(
-        df,
-        **{f"lo{i}": F.min(quoted(c)).cast("double") for i, c in enumerate(inputs)},
-        **{f"hi{i}": F.max(quoted(c)).cast("double") for i, c in enumerate(inputs)},
-    )
-    binned = df.select(
-        *[
-            right_closed_bin(F.col(quoted(c)).cast("double"), stats[f"lo{i}"], stats[f"hi{i}"], cells).alias(f"b{i}")
-            for i, c in enumerate(inputs)
-        ],
-        *[F.col(quoted(c)).cast("double").alias(f"z{k}") for k, c in enumerate(outputs)],
+    binned = with_stats(df, df, **_ranges(inputs)).select(
+        *_all_bins(inputs, cells), *[F.col(quoted(c)).cast("double").alias(f"z{k}") for k, c in enumerate(outputs)]
     )
     pairs = F.array(
         *[

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from labweave.functions.cleaning import nan_to_null
 from labweave.operators.columns import quoted
+from labweave.session import local_table
 
 MAX_GROUPS = 10_000
 LEAF_ROWS = 1_000_000
@@ -72,8 +73,7 @@ class _Cell:
 
 
 def _rows_in_cells(rows: DataFrame, cells: Sequence[_Cell], kind: str) -> DataFrame:
-    table = rows.sparkSession.createDataFrame(
-        [(i, c.group, c.low, c.high) for i, c in enumerate(cells)], f"cell int, cg {kind}, low double, high double"
+    table = local_table(rows.sparkSession, [(i, c.group, c.low, c.high) for i, c in enumerate(cells)], f"cell int, cg {kind}, low double, high double"
     )
     inside = (F.col("low").isNull() | (F.col("v") > F.col("low"))) & (F.col("high").isNull() | (F.col("v") < F.col("high")))
     return rows.join(F.broadcast(table), (F.col("g") == F.col("cg")) & inside).select("cell", "v")
@@ -81,8 +81,7 @@ def _rows_in_cells(rows: DataFrame, cells: Sequence[_Cell], kind: str) -> DataFr
 
 def _read_leaves(rows: DataFrame, cells: Sequence[_Cell], kind: str) -> dict[tuple[object, int], float]:
     """Values at the wanted ranks of cells short enough to order directly."""
-    wanted = rows.sparkSession.createDataFrame(
-        [(i, r - c.below) for i, c in enumerate(cells) for r in sorted(c.ranks)], "wcell int, inner long"
+    wanted = local_table(rows.sparkSession, [(i, r - c.below) for i, c in enumerate(cells) for r in sorted(c.ranks)], "wcell int, inner long"
     )
     counts = _rows_in_cells(rows, cells, kind).groupBy("cell", "v").agg(F.count(F.lit(1)).alias("c"))
     order = Window.partitionBy("cell").orderBy("v")
@@ -96,7 +95,7 @@ def _split_cells(rows: DataFrame, cells: Sequence[_Cell], kind: str, steps: int,
     """Cut long cells along a ladder; ranks that fall on a rung are done."""
     members = _rows_in_cells(rows, cells, kind)
     ladders = {r.cell: sorted(set(r.ladder)) for r in members.groupBy("cell").agg(_ladder(F.col("v"), steps).alias("ladder")).collect()}
-    table = rows.sparkSession.createDataFrame(list(ladders.items()), "lcell int, ladder array<double>")
+    table = local_table(rows.sparkSession, list(ladders.items()), "lcell int, ladder array<double>")
     pieces = (
         members.join(F.broadcast(table), F.col("cell") == F.col("lcell"))
         .groupBy("cell", _piece_in_array(F.col("v"), F.col("ladder")).alias("piece"))
@@ -158,7 +157,7 @@ def group_quantiles(
             at = p * (r.n - 1)
             low, high = values[r.g, floor(at)], values[r.g, ceil(at)]
             out.append((r.g, float(p), low + (high - low) * (at - floor(at)), r.n))
-    return df.sparkSession.createDataFrame(out, f"{quoted(group)} {kind}, p double, quantile double, n long")
+    return local_table(df.sparkSession, out, f"{quoted(group)} {kind}, p double, quantile double, n long")
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], steps: int = TREE_STEPS) -> DataFrame:

@@ -47,8 +47,11 @@ def window_series(
     columns: Mapping[str, int],
     row: str = "_row",
     numeric: bool = True,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Many (x ordinal, first, last) windows of one sheet in a single scan.
+    """Many (x ordinal, first, last) windows of a sheet in a single scan.
+
+    With ``keys`` (a sheet id) the table holds many sheets and the windows apply to each.
 
     A window's header is on ``first``; its data are rows ``first + 1 .. last + 1``. Each
     row carries the literal window list through a filter, so there is no join at all.
@@ -56,7 +59,8 @@ def window_series(
     """
     if len(windows) > MAX_WINDOWS:
         raise ValueError(f"at most {MAX_WINDOWS} windows fit a literal list; split the list")
-    ordinals = [c for c in sheet.columns if c != row]
+    ordinals = [c for c in sheet.columns if c != row and c not in keys]
+    kept = [quoted(k) for k in keys]
     read = (lambda c: to_number(F.col(quoted(c)))) if numeric else (lambda c: F.col(quoted(c)).cast("double"))
     cases = F.array(
         *[
@@ -72,9 +76,9 @@ def window_series(
     values = F.array(*[F.struct(F.lit(s).alias("series"), read(ordinals[o]).alias("value")) for s, o in columns.items()])
     return (
         sheet.filter(F.col(row).between(low, high))
-        .select(row, F.filter(cases, lambda w: w.isNotNull()).alias("_w"), values.alias("_v"))
-        .select(row, F.explode("_w").alias("_w"), "_v")
-        .select(row, F.col("_w.window_id"), F.col("_w.x"), "_v")
+        .select(*kept, row, F.filter(cases, lambda w: w.isNotNull()).alias("_w"), values.alias("_v"))
+        .select(*kept, row, F.explode("_w").alias("_w"), "_v")
+        .select(*kept, row, F.col("_w.window_id"), F.col("_w.x"), "_v")
         .filter(F.col("x").isNotNull())
-        .select("window_id", row, "x", F.inline("_v"))
+        .select(*kept, "window_id", row, "x", F.inline("_v"))
     )

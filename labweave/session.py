@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def build_session(app: str = "labweave", master: str | None = None, **conf: str) -> SparkSession:
@@ -38,3 +42,11 @@ def shared_dir(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="labweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/labweave-{uuid.uuid4().hex}"
+
+
+def local_table(spark: SparkSession, rows: Iterable[tuple], schema: str | T.StructType) -> DataFrame:
+    """A few driver-side rows as a local relation, whose size the optimizer knows."""
+    parsed = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    columns = list(zip(*rows)) or [()] * len(parsed)
+    target = to_arrow_schema(parsed)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, target)], schema=target), parsed)

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from labweave.session import local_table
 
 FEATURE_SCHEMA = "target string, model string, feature string, rank int"
 RESULT_SCHEMA = "target string, model string, metric string, value double, status string"
@@ -44,7 +45,7 @@ def load_selected_features(spark: SparkSession, path: str) -> DataFrame:
 
 def result_rows(spark: SparkSession, rows: Iterable[tuple]) -> DataFrame:
     """Long result table from (target, model, metric, value, status) tuples; NaN becomes null."""
-    table = spark.createDataFrame(list(rows), RESULT_SCHEMA)
+    table = local_table(spark, list(rows), RESULT_SCHEMA)
     return table.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
 
 
