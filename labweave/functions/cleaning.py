@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from labweave.fixed_values import MISSING_TOKENS
 
-# plain decimal or exponent notation; keeps Java-only spellings such as '1d' out
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-EDGE_SPACE = r"^\s+|\s+$"
+# the ASCII characters that str.strip() removes
+SPACE = "".join(chr(c) for c in (*range(9, 14), *range(28, 33)))
+# plain decimal or exponent notation, blanks around it allowed
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
 def strip(text: Column) -> Column:
     """Remove all leading and trailing white space, not only blanks."""
-    return F.regexp_replace(text.cast("string"), EDGE_SPACE, "")
+    return F.btrim(text.cast("string"), F.lit(SPACE))
 
 
 def null_if_missing(text: Column, tokens: Iterable[str] = MISSING_TOKENS) -> Column:
@@ -25,9 +26,12 @@ def null_if_missing(text: Column, tokens: Iterable[str] = MISSING_TOKENS) -> Col
 
 
 def to_number(text: Column) -> Column:
-    """Strict number: anything that is not plain decimal text becomes null."""
-    bare = strip(text)
-    return F.when(bare.rlike(NUMBER), bare.try_cast("double"))
+    """Strict number: anything that is not plain decimal text becomes null.
+
+    The pattern keeps Java-only spellings out ('1d', 'NaN', '0x1p3') and spares the cast
+    an exception per bad cell.
+    """
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 def to_number_lenient(text: Column) -> Column:

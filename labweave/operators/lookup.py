@@ -17,9 +17,25 @@ LITERAL_ROWS = 10_000
 SALTS = 16
 
 
-def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Does the table have at most ``limit`` rows? Stops counting one row beyond."""
-    return df.limit(limit + 1).count() <= limit
+def bounded_copy(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame | None:
+    """The table as a local relation when it has at most ``limit`` rows, else None.
+
+    One job answers both "is it small?" and "what is in it?"; later uses neither count nor
+    recompute it. Reading stops one row beyond the limit.
+    """
+    rows = df.limit(limit + 1).toArrow()
+    return df.sparkSession.createDataFrame(rows, df.schema) if rows.num_rows <= limit else None
+
+
+def salted_left_join(facts: DataFrame, side: DataFrame, fact_key: Column, side_key: str) -> DataFrame:
+    """Left join by shuffle with the facts salted and the unique-keyed side replicated per salt.
+
+    A key that holds a large share of the facts is spread over ``SALTS`` tasks.
+    """
+    replicated = side.withColumn("_salt_r", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(*[quoted(c) for c in facts.columns]), F.lit(SALTS)).cast("int")
+    condition = (fact_key == F.col(side_key)) & (F.col("_salt_l") == F.col("_salt_r"))
+    return facts.withColumn("_salt_l", salt).join(replicated, condition, "left")
 
 
 def dimension(spark: SparkSession, rows: Mapping[str, tuple], key: str, attributes: Sequence[str]) -> DataFrame:
@@ -44,9 +60,8 @@ def lookup(
     """Left lookup on the stripped key; misses and null keys get ``default``.
 
     ``attributes`` maps dimension columns to output columns. The dimension is broadcast
-    only when it is known (``bounded=True``) or counted to be small. A larger one is
-    joined by shuffle with the fact side salted and the dimension replicated per salt,
-    so one key holding a large share of the rows is spread over ``SALTS`` tasks.
+    only when it is known (``bounded=True``) or read to be small. A larger one is joined
+    by a salted shuffle.
     """
     side = dim.select(
         strip(F.col(quoted(dim_key))).alias("_dim_key"),
@@ -54,13 +69,12 @@ def lookup(
     )
     fact_key = strip(F.col(quoted(key)))
     if bounded is None:
-        bounded = small_enough(side)
+        small = bounded_copy(side)
+        bounded, side = small is not None, small if small is not None else side
     if bounded:
         joined = df.join(F.broadcast(side), fact_key == F.col("_dim_key"), "left")
     else:
-        salted = side.withColumn("_salt_r", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        left = df.withColumn("_salt_l", F.pmod(F.xxhash64(*[quoted(c) for c in df.columns]), F.lit(SALTS)).cast("int"))
-        joined = left.join(salted, (fact_key == F.col("_dim_key")) & (F.col("_salt_l") == F.col("_salt_r")), "left")
+        joined = salted_left_join(df, side, fact_key, "_dim_key")
     outputs = {}
     for i, name in enumerate(attributes.values()):
         value = F.col(f"_dim_{i}")
@@ -78,13 +92,14 @@ def lookup_roles(df: DataFrame, dim: DataFrame, roles: Mapping[str, Mapping[str,
     return df.select(*[quoted(c) for c in order])
 
 
-def lookup_after(df: DataFrame, dim: DataFrame, key: str, dim_key: str, attribute: str, name: str, default=0.0) -> DataFrame:
+def lookup_after(df: DataFrame, dim: DataFrame, key: str, dim_key: str, attribute: str, name: str, default=0.0,
+                 bounded: bool | None = None) -> DataFrame:
     """Lookup whose result column sits directly after its key column."""
     if key not in df.columns:
         return insert_after(df, key, name, F.lit(default), default)
     order = list(df.columns)
     at = order.index(key) + 1
-    found = lookup(df, dim, key, dim_key, {attribute: name}, default)
+    found = lookup(df, dim, key, dim_key, {attribute: name}, default, bounded)
     return found.select(*[quoted(c) for c in order[:at]], quoted(name), *[quoted(c) for c in order[at:] if c != name])
 
 

@@ -8,14 +8,14 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labweave.functions.binning import bin_interval, right_closed_bin
+from labweave.functions.binning import bin_interval, with_right_closed_bins
 from labweave.functions.stats import STATS, stat, with_stats
 from labweave.operators.columns import quoted
+from labweave.operators.lookup import bounded_copy, salted_left_join
 from labweave.operators.moments import pair_correlation, pair_moments
 from labweave.operators.quantiles import group_quantiles
 
 MAX_CODEGEN_PAIRS = 28
-SALTS = 16
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -91,21 +91,17 @@ def bounds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def with_frequency(df: DataFrame, column: str, name: str = "frequency") -> DataFrame:
     """Attach how often a row's own value occurs; null for null.
 
-    Counts are aggregated first and joined back. The row side is salted and the count
-    side replicated per salt, so a value held by a third of the rows is joined by many
-    tasks; adaptive execution turns the join into a broadcast when the measured count
-    table is small.
+    Counts are aggregated first and joined back: by broadcast when there are few distinct
+    values, else by a salted shuffle, so a value held by a third of the rows is never one
+    task's work as it would be in a window.
     """
     key = F.col(quoted(column))
-    counts = (
-        df.filter(key.isNotNull())
-        .groupBy(key.alias("_value"))
-        .agg(F.count(F.lit(1)).alias(name))
-        .withColumn("_salt_r", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    )
-    salt = F.pmod(F.xxhash64(*[quoted(c) for c in df.columns]), F.lit(SALTS)).cast("int")
-    rows = df.withColumn("_salt_l", salt)
-    joined = rows.join(counts, (key == F.col("_value")) & (F.col("_salt_l") == F.col("_salt_r")), "left")
+    counts = df.filter(key.isNotNull()).groupBy(key.alias("_value")).agg(F.count(F.lit(1)).alias(name))
+    small = bounded_copy(counts)
+    if small is not None:
+        joined = df.join(F.broadcast(small), key == F.col("_value"), "left")
+    else:
+        joined = salted_left_join(df, counts, key, "_value")
     return joined.select(*[quoted(c) for c in df.columns], name)
 
 
@@ -113,7 +109,7 @@ def with_bin(df: DataFrame, column: str, bins: int = 5, name: str = "bin", inter
     """Equal-width right-closed bin number (or interval struct) over the column's range."""
     value = F.col(quoted(column)).cast("double")
     known = with_stats(df, df, lo=F.min(value), hi=F.max(value))
-    binned = known.withColumn(name, right_closed_bin(value, stat("lo"), stat("hi"), bins))
+    binned = with_right_closed_bins(known, {name: (value, stat("lo"), stat("hi"))}, bins)
     if interval:
         binned = binned.withColumn(name, bin_interval(F.col(quoted(name)), stat("lo"), stat("hi"), bins))
     return binned.drop(STATS)
@@ -126,11 +122,13 @@ def _ranges(columns: Sequence[str]) -> dict:
     }
 
 
-def _all_bins(columns: Sequence[str], bins: int) -> list:
-    return [
-        right_closed_bin(F.col(quoted(c)).cast("double"), stat(f"lo{i}"), stat(f"hi{i}"), bins).alias(f"b{i}")
-        for i, c in enumerate(columns)
-    ]
+def _all_bins(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
+    """Columns ``b0, b1, ..``: the bin numbers of several columns over their own ranges."""
+    known = with_stats(df, df, **_ranges(columns))
+    specs = {
+        f"b{i}": (F.col(quoted(c)).cast("double"), stat(f"lo{i}"), stat(f"hi{i}")) for i, c in enumerate(columns)
+    }
+    return with_right_closed_bins(known, specs, bins).drop(STATS)
 
 
 def bin_distribution(df: DataFrame, column: str, target: str, probabilities: Sequence[float], bins: int = 5) -> DataFrame:
@@ -151,23 +149,23 @@ def pair_histograms(df: DataFrame, columns: Sequence[str], bins: int = 10) -> Da
     Rows fan out to one narrow struct per pair and are combined in the task, so the
     shuffle holds at most ``pairs * bins**2`` rows per task.
     """
-    binned = with_stats(df, df, **_ranges(columns)).select(*_all_bins(columns, bins))
+    binned = _all_bins(df.select(*[quoted(c) for c in columns]), columns, bins)
     cells = [
-        F.struct(
-            F.lit(columns[i]).alias("name_i"),
-            F.lit(columns[j]).alias("name_j"),
-            F.col(f"b{i}").alias("bin_i"),
-            F.col(f"b{j}").alias("bin_j"),
-        )
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"b{i}").alias("bin_i"), F.col(f"b{j}").alias("bin_j"))
         for i in range(len(columns))
         for j in range(i, len(columns))
     ]
-    return (
+    counts = (
         binned.select(F.inline(F.array(*cells)))
         .filter(F.col("bin_i").isNotNull() & F.col("bin_j").isNotNull())
-        .groupBy("name_i", "name_j", "bin_i", "bin_j")
+        .groupBy("i", "j", "bin_i", "bin_j")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    names = F.array(*[F.lit(c) for c in columns])
+    return counts.select(
+        F.element_at(names, F.col("i") + 1).alias("name_i"), F.element_at(names, F.col("j") + 1).alias("name_j"),
+        "bin_i", "bin_j", "n",
+    )
 
 
 def bubble_table(df: DataFrame, x: str, y: str, group: str, extra: Sequence[str] = ()) -> DataFrame:
@@ -187,8 +185,9 @@ def response_surface(df: DataFrame, x: str, y: str, z: str, cells: int = 100) ->
 
 def response_surfaces(df: DataFrame, inputs: Sequence[str], outputs: Sequence[str], cells: int = 100) -> DataFrame:
     """The surface of every (input pair, output) in one scan and one aggregate."""
-    binned = with_stats(df, df, **_ranges(inputs)).select(
-        *_all_bins(inputs, cells), *[F.col(quoted(c)).cast("double").alias(f"z{k}") for k, c in enumerate(outputs)]
+    binned = _all_bins(df, inputs, cells).select(
+        *[f"b{i}" for i in range(len(inputs))],
+        *[F.col(quoted(c)).cast("double").alias(f"z{k}") for k, c in enumerate(outputs)],
     )
     pairs = F.array(
         *[

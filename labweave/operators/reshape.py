@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from labweave.functions.cleaning import to_number
 from labweave.operators.columns import quoted
+from labweave.operators.lookup import bounded_copy
 
 MAX_WINDOWS = 1000
 
@@ -34,11 +35,19 @@ def block_series(df: DataFrame, keys: Sequence[str], blocks: Mapping[str, int],
 def drop_empty_series(series: DataFrame, group: Sequence[str], value: str = "value") -> DataFrame:
     """Drop the series without any value.
 
-    A left semi join on the pre-aggregated list of non-empty series; a window count
-    would pull a whole series into one task.
+    The (usually few) empty series are found by one aggregate and removed by an anti join:
+    a broadcast when the list is small, so that the rows themselves are not shuffled. A
+    window count would pull a whole series into one task.
     """
-    full = series.filter(F.col(value).isNotNull()).groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).select(*group)
-    return series.join(full, list(group), "left_semi")
+    empty = (
+        series.groupBy(*group).agg(F.count(value).alias("_n")).filter(F.col("_n") == 0)
+        .select(*[F.col(quoted(g)).alias(f"_e{i}") for i, g in enumerate(group)])
+    )
+    small = bounded_copy(empty)
+    condition = F.lit(True)
+    for i, g in enumerate(group):
+        condition = condition & F.col(quoted(g)).eqNullSafe(F.col(f"_e{i}"))
+    return series.join(empty if small is None else F.broadcast(small), condition, "left_anti")
 
 
 def window_series(
@@ -62,23 +71,22 @@ def window_series(
     ordinals = [c for c in sheet.columns if c != row and c not in keys]
     kept = [quoted(k) for k in keys]
     read = (lambda c: to_number(F.col(quoted(c)))) if numeric else (lambda c: F.col(quoted(c)).cast("double"))
+    used = sorted({x for x, _, _ in windows} | set(columns.values()))
+    low = min(first for _, first, _ in windows) + 1
+    high = max(last for _, _, last in windows) + 1
+    # every needed cell is parsed once, then only referred to
+    parsed = sheet.filter(F.col(row).between(low, high)).select(*kept, row, *[read(ordinals[o]).alias(f"_p{o}") for o in used])
     cases = F.array(
         *[
-            F.when(
-                F.col(row).between(first + 1, last + 1),
-                F.struct(F.lit(i).alias("window_id"), read(ordinals[x]).alias("x")),
-            )
+            F.when(F.col(row).between(first + 1, last + 1), F.struct(F.lit(i).alias("id"), F.lit(x).alias("at")))
             for i, (x, first, last) in enumerate(windows, start=1)
         ]
     )
-    low = min(first for _, first, _ in windows) + 1
-    high = max(last for _, _, last in windows) + 1
-    values = F.array(*[F.struct(F.lit(s).alias("series"), read(ordinals[o]).alias("value")) for s, o in columns.items()])
+    x_value = F.coalesce(*[F.when(F.col("_w.at") == x, F.col(f"_p{x}")) for x in sorted({x for x, _, _ in windows})])
+    values = F.array(*[F.struct(F.lit(s).alias("series"), F.col(f"_p{o}").alias("value")) for s, o in columns.items()])
     return (
-        sheet.filter(F.col(row).between(low, high))
-        .select(*kept, row, F.filter(cases, lambda w: w.isNotNull()).alias("_w"), values.alias("_v"))
-        .select(*kept, row, F.explode("_w").alias("_w"), "_v")
-        .select(*kept, row, F.col("_w.window_id"), F.col("_w.x"), "_v")
+        parsed.select("*", F.explode(F.array_compact(cases)).alias("_w"))
+        .select("*", x_value.alias("x"))
         .filter(F.col("x").isNotNull())
-        .select(*kept, "window_id", row, "x", F.inline("_v"))
+        .select(*kept, F.col("_w.id").alias("window_id"), row, "x", F.inline(values))
     )

@@ -117,8 +117,8 @@ def bootstrap_widths(table: DataFrame, names: Sequence[str], resamples: int = 10
     resampled = (
         table.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
         .withColumn("u", unit(integer_hash(F.col("block_id"), F.col("resample") + seed)))
+        .filter(F.col("u") > POISSON_STEPS[0])
         .withColumn("w", poisson_weight(F.col("u")))
-        .filter(F.col("w") > 0)
     )
     weighted = lambda x: F.sum(x * F.col("w")) / F.sum("w")
     wide = resampled.groupBy("output", "resample").agg(

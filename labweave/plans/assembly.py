@@ -15,7 +15,7 @@ from labweave.operators.chemistry import first_energy
 from labweave.operators.columns import conform, quoted, rename
 from labweave.operators.combine import union_conformed
 from labweave.operators.fill import fill_constants
-from labweave.operators.lookup import dimension, lookup, lookup_after, lookup_roles
+from labweave.operators.lookup import bounded_copy, dimension, lookup, lookup_after, lookup_roles
 
 
 def harmonise(sheet: DataFrame, names: Mapping[str, str], source: int, number: Callable[[Column], Column] = to_number) -> DataFrame:
@@ -48,8 +48,12 @@ def enrich(table: DataFrame) -> DataFrame:
 def attach_adsorption(table: DataFrame, documents: DataFrame) -> DataFrame:
     """First CO adsorption energy per material, next to each role's type column."""
     energies = first_energy(documents)
+    small = bounded_copy(energies)
     for role, name in zip(ROLES, ("Active component", "Promoter", "Support a type", "Support b type")):
-        table = lookup_after(table, energies, f"{role} type", "material", "energy", f"{name} adsorption energy")
+        table = lookup_after(
+            table, energies if small is None else small, f"{role} type", "material", "energy", f"{name} adsorption energy",
+            bounded=small is not None,
+        )
     return table
 
 
