@@ -132,7 +132,7 @@ def _walk(x: np.ndarray, trees: Sequence[Mapping]) -> np.ndarray:
             feature = tree["feature"][here]
             go_left = x[active, feature] <= tree["threshold"][here]
             child = np.where(go_left, tree["left"][here], tree["right"][here])
-            np.add.at(out, (active, feature), tree["value"][child] - tree["value"][here])
+            out[active, feature] += tree["value"][child] - tree["value"][here]  # a row occurs once per level
             at[active] = child
             active = active[tree["left"][child] >= 0]
     return out

@@ -225,7 +225,7 @@ def m12(spark, sf):
 )
 def m13(spark, sf):
     """Imputing and scaling travel with the saved model; for a linear model they cancel out."""
-    rows = order_features(spark, sf)
+    rows = order_features(spark, sf).persist()
     steps = prep.preprocessing(["qty"]).getStages()
     root = shared_dir(spark)
     stores.save_model(Pipeline(stages=[*steps, LinearRegression()]).fit(rows), root, "price", "scaled OLS")
