@@ -36,10 +36,14 @@ def quantile_grid(df: DataFrame, features: Sequence[str], points: int, low: floa
     ends: dict[str, dict[float, float]] = {}
     for r in column_quantiles(df, features, [low, high]).collect():
         ends.setdefault(r["column"], {})[r.p] = r.quantile
+    # a sketch first: listing the distinct values is only cheap when there are few
+    sketch = df.agg(*[F.approx_count_distinct(quoted(c)).alias(f"n{i}") for i, c in enumerate(features)]).first()
     grid = {}
-    for c in features:
-        few = [r.v for r in df.select(F.col(quoted(c)).cast("double").alias("v")).filter("v is not null").distinct().limit(points).collect()]
-        grid[c] = sorted(few) if len(few) < points else np.linspace(ends[c][low], ends[c][high], points).tolist()
+    for i, c in enumerate(features):
+        grid[c] = np.linspace(ends[c][low], ends[c][high], points).tolist()
+        if sketch[f"n{i}"] <= 2 * points:
+            rows = df.select(F.col(quoted(c)).cast("double").alias("v")).filter("v is not null").distinct().limit(points).collect()
+            grid[c] = sorted(r.v for r in rows) if len(rows) < points else grid[c]
     return grid
 
 

@@ -42,24 +42,29 @@ def read_delimited(
     paths: str | Sequence[str],
     schema: T.StructType | str | None = None,
     fallback: str = "ISO-8859-1",
+    encoding: str | None = None,
     multi_line: bool = False,
     **options: str,
 ) -> DataFrame:
     """CSV with a header; files that are not valid UTF-8 are read in ``fallback``.
 
-    The schema is all-string by default (from the header); typing is a later step.
+    A given ``encoding`` skips the check and its extra scan. The schema is all-string by
+    default (from the header); typing is a later step.
     Only the list of file names with their flags reaches the driver, never file content.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    flags = reduce(DataFrame.unionByName, [text_encodings(spark, p) for p in paths]).collect()
-    groups = {
-        "UTF-8": sorted(r.path for r in flags if r.utf8),
-        fallback: sorted(r.path for r in flags if not r.utf8),
-    }
+    if encoding:
+        groups = {encoding: paths}
+    else:
+        flags = reduce(DataFrame.unionByName, [text_encodings(spark, p) for p in paths]).collect()
+        groups = {
+            "UTF-8": sorted(r.path for r in flags if r.utf8),
+            fallback: sorted(r.path for r in flags if not r.utf8),
+        }
     parts = []
-    for encoding, files in groups.items():
+    for name, files in groups.items():
         if files:
-            reader = spark.read.option("header", True).option("encoding", encoding).option("multiLine", multi_line)
+            reader = spark.read.option("header", True).option("encoding", name).option("multiLine", multi_line)
             for key, value in options.items():
                 reader = reader.option(key, value)
             parts.append((reader.schema(schema) if schema else reader).csv(files))

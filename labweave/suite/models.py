@@ -233,13 +233,13 @@ def m13(spark, sf):
 
 
 # a model with an interaction, as plain SQL
-BLACK_BOX = "SELECT *, 2 * l_quantity + 300 * l_discount * l_tax AS prediction FROM __THIS__"
+BLACK_BOX = "SELECT *, 2 * l_quantity + 317.31415926 * l_discount * l_tax AS prediction FROM __THIS__"
 BOX_FEATURES = ["l_quantity", "l_discount", "l_tax"]
 
 PDP_SQL = """
 WITH e AS (SELECT min(l_quantity) AS q0, max(l_quantity) AS q1, min(l_discount) AS d0, max(l_discount) AS d1, avg(l_tax) AS t FROM lineitem)
 SELECT round(q0 + i * (q1 - q0) / 9, 6) + 0.0 AS l_quantity_grid, round(d0 + j * (d1 - d0) / 9, 6) + 0.0 AS l_discount_grid,
-       round(2 * (q0 + i * (q1 - q0) / 9) + 300 * (d0 + j * (d1 - d0) / 9) * t, 6) + 0.0 AS average FROM e, range(10) a(i), range(10) b(j)"""
+       round(2 * (q0 + i * (q1 - q0) / 9) + 317.31415926 * (d0 + j * (d1 - d0) / 9) * t, 6) + 0.0 AS average FROM e, range(10) a(i), range(10) b(j)"""
 
 
 @query("x1_partial_dependence", PDP_SQL)
@@ -252,15 +252,15 @@ def x1(spark, sf):
 PDQ_SQL = """
 WITH e AS (SELECT quantile_cont(l_quantity, 0.05) AS q0, quantile_cont(l_quantity, 0.95) AS q1, quantile_cont(l_discount, 0.05) AS d0,
                   quantile_cont(l_discount, 0.95) AS d1, avg(l_tax) AS t FROM lineitem)
-SELECT round(q0 + i * (q1 - q0) / 4, 4) + 0.0 AS l_quantity_grid, round(d0 + j * (d1 - d0) / 4, 4) + 0.0 AS l_discount_grid,
-       round(2 * (q0 + i * (q1 - q0) / 4) + 300 * (d0 + j * (d1 - d0) / 4) * t, 4) + 0.0 AS average FROM e, range(5) a(i), range(5) b(j)"""
+SELECT round(q0 + i * (q1 - q0) / 4, 6) + 0.0 AS l_quantity_grid, round(d0 + j * (d1 - d0) / 4, 6) + 0.0 AS l_discount_grid,
+       round(2 * (q0 + i * (q1 - q0) / 4) + 317.31415926 * (d0 + j * (d1 - d0) / 4) * t, 6) + 0.0 AS average FROM e, range(5) a(i), range(5) b(j)"""
 
 
 @query("x2_quantile_partial_dependence", PDQ_SQL)
 def x2(spark, sf):
     rows = table(spark, sf, "lineitem").select(*BOX_FEATURES)
     out = explain.partial_dependence(rows, SQLTransformer(statement=BLACK_BOX), explain.quantile_grid(rows, BOX_FEATURES[:2], 5))
-    return out.select(*[r(c, 4).alias(c) for c in out.columns])
+    return out.select(*[r(c).alias(c) for c in out.columns])
 
 
 OLS2_SQL = f"""

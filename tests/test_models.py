@@ -175,3 +175,19 @@ def test_ishigami(spark):
     assert all(v[0] is None for k, v in got.items() if k[0] == "flat")
     for n in bounds:
         assert got["y", "ST", n, None][0] >= got["y", "S1", n, None][0] - got["y", "S1", n, None][1]
+
+
+def test_foreign_model_in_partial_dependence(spark, numbers):
+    from labweave.ml.foreign import FunctionModel
+
+    model = FunctionModel(FEATURES, lambda m: m[:, 0] * 2 + m[:, 1] * m[:, 2])
+    grid = {"a": [0.0, 1.0], "b": [0.0, 2.0]}
+    got = {(r.a_grid, r.b_grid): r.average for r in explain.partial_dependence(numbers[0], model, grid).collect()}
+    mean_c = numbers[1][:, 2].mean()
+    assert got[1.0, 2.0] == pytest.approx(2 + 2 * mean_c) and got[0.0, 0.0] == pytest.approx(0.0)
+
+
+def test_quantile_grid_lists_few_values(spark):
+    df = spark.range(1000).select((F.col("id") % 3).cast("double").alias("few"), F.col("id").cast("double").alias("many"))
+    grid = explain.quantile_grid(df, ["few", "many"], 5)
+    assert grid["few"] == [0.0, 1.0, 2.0] and grid["many"] == pytest.approx(np.linspace(49.95, 949.05, 5).tolist())
