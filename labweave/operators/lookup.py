@@ -79,8 +79,8 @@ def lookup(
     for i, name in enumerate(attributes.values()):
         value = F.col(f"_dim_{i}")
         outputs[name] = value if default is None else F.coalesce(value, F.lit(default).cast(side.schema[f"_dim_{i}"].dataType))
-    kept = [c for c in df.columns if c not in outputs]
-    return joined.select(*[F.col(quoted(c)) for c in kept], *[v.alias(n) for n, v in outputs.items()])
+    helpers = [c for c in joined.columns if c in side.columns or c in ("_salt_l", "_salt_r")]
+    return joined.withColumns(outputs).drop(*helpers)
 
 
 def lookup_roles(df: DataFrame, dim: DataFrame, roles: Mapping[str, Mapping[str, str]], dim_key: str, default=0.0) -> DataFrame:

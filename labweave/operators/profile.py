@@ -122,9 +122,9 @@ def _ranges(columns: Sequence[str]) -> dict:
     }
 
 
-def _all_bins(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
-    """Columns ``b0, b1, ..``: the bin numbers of several columns over their own ranges."""
-    known = with_stats(df, df, **_ranges(columns))
+def _all_bins(df: DataFrame, columns: Sequence[str], bins: int, source: DataFrame | None = None) -> DataFrame:
+    """Columns ``b0, b1, ..``: the bin numbers of several columns over their ranges in ``source``."""
+    known = with_stats(df, df if source is None else source, **_ranges(columns))
     specs = {
         f"b{i}": (F.col(quoted(c)).cast("double"), stat(f"lo{i}"), stat(f"hi{i}")) for i, c in enumerate(columns)
     }
@@ -133,7 +133,9 @@ def _all_bins(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
 
 def bin_distribution(df: DataFrame, column: str, target: str, probabilities: Sequence[float], bins: int = 5) -> DataFrame:
     """Exact target quantiles and counts per equal-width bin of another column."""
-    binned = with_bin(df, column, bins).filter(F.col("bin").isNotNull() & F.col(quoted(target)).isNotNull())
+    known = df.select(quoted(column), quoted(target)).filter(F.col(quoted(column)).isNotNull())
+    # never null now; saying so keeps null checks on the bin from being pushed down as its whole expression
+    binned = with_bin(known, column, bins).withColumn("bin", F.coalesce("bin", F.lit(0)))
     return group_quantiles(binned, "bin", target, probabilities)
 
 
@@ -175,10 +177,11 @@ def bubble_table(df: DataFrame, x: str, y: str, group: str, extra: Sequence[str]
 
 def response_surface(df: DataFrame, x: str, y: str, z: str, cells: int = 100) -> DataFrame:
     """Mean of z (with count) on an equal-width cells x cells grid."""
-    both = with_bin(with_bin(df, x, cells, "bin_x"), y, cells, "bin_y")
+    # bins are null only where their input is: a filter on a bin would be pushed down as its whole expression
+    rows = df.select(*[F.col(quoted(c)) for c in (x, y, z)]).dropna()
     return (
-        both.filter(F.col("bin_x").isNotNull() & F.col("bin_y").isNotNull() & F.col(quoted(z)).isNotNull())
-        .groupBy("bin_x", "bin_y")
+        _all_bins(rows, [x, y], cells, df)
+        .groupBy(F.col("b0").alias("bin_x"), F.col("b1").alias("bin_y"))
         .agg(F.avg(quoted(z)).alias("z"), F.count(F.lit(1)).alias("n"))
     )
 
