@@ -5,8 +5,9 @@ signature of the same length, whose agreement estimates similarity without bias
 that share a band are candidates, and links are confirmed on the full shingle sets.
 
 Texts with equal sets are one class from the start. In a bucket of candidates, members are first compared with one leader; whatever that
-joins needs no further comparison, as only the groups are wanted. The pairs of a bucket that still lie in different groups are then
-compared one by one, unless their signatures or set sizes rule a link out, so a large group of copies costs its size and not its square.
+joins needs no further comparison, as only the groups are wanted. Of what a bucket still holds in different groups, members go whose own
+shingles, shared with no other of them, leave too few for any link; the pairs that remain are compared, unless signatures or set sizes
+rule a link out. So a large group of copies costs its size and not its square.
 
 With 32 bands of 4, a pair at similarity 0.8 is missed with a chance below 1e-7, and the signature test (95 of 128 bits) passes it with
 a chance above 1 - 1e-7.
@@ -137,18 +138,50 @@ def near_duplicates(docs: DataFrame, width: int, percent: int = 80, key: str = "
     # against its other leaders, where that can still join groups
     rest = met.select(F.col("id").alias("a"), F.col("leader").alias("b")).join(first, ["a", "b"], "left_anti")
     groups = _joined(groups, rest, texts, slim, width, percent)
-    # all pairs of a bucket that still lie in different groups
-    held = _with_group(members, groups, "id", "group")
-    split = held.groupBy("bucket").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low < _high").select("bucket")
-    open_ = held.join(split, "bucket", "left_semi").where("id <> leader").select("bucket", "id", "group").join(slim, "id")
-    other = open_.select("bucket", *(F.col(c).alias(f"{c}_2") for c in ("id", "group", "n_shingles", "bits_a", "bits_b")))
-    pairs = open_.join(other, "bucket").where((F.col("id") < F.col("id_2")) & (F.col("group") != F.col("group_2")) & _possible(percent))
+    # what a bucket still holds in different groups, less the members that can have no link there
+    held = _with_group(members, groups, "id", "group").where("id <> leader").select("bucket", "id", "group")
+    open_ = stored(_divided(held).join(slim, "id"))
+    for _ in range(2):  # fewer members have fewer shingles in common
+        open_ = stored(_divided(_linkable(open_, texts, width, percent)))
+    other = open_.select("bucket", *(F.col(c).alias(f"{c}_2") for c in ("id", "group", "n_shingles", "bits_a", "bits_b", "common")))
+    enough = F.least("common", "common_2") * (100 + percent) >= (F.col("n_shingles") + F.col("n_shingles_2")) * percent
+    pairs = open_.join(other, "bucket").where((F.col("id") < F.col("id_2")) & (F.col("group") != F.col("group_2")) & _possible(percent) & enough)
     groups = _joined(groups, pairs.select(F.col("id").alias("a"), F.col("id_2").alias("b")).distinct(), texts, None, width, percent)
     member = drawn.join(classes, ["low", "high"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("id")))
     found = _with_group(member.withColumn("rep", F.when(F.col("id").isNotNull(), F.col("rep"))), groups, "rep", "component_id")
     return found.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _divided(rows: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one group."""
+    split = rows.groupBy("bucket").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low < _high").select("bucket")
+    return rows.join(split, "bucket", "left_semi")
+
+
+def _linkable(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """``rows`` with ``common``, the shingles that any other of them has too, less those whose number rules out every link.
+
+    Two sets share at most the ``common`` of either, and a partner in the bucket has at least the bucket's smallest size; this is exact.
+    A copy with edits of its own is so turned away by counting, not by comparing it with every other copy.
+    """
+    wanted = rows.select("id").distinct()
+
+    def run(batches):
+        for batch in batches:
+            for row, data, offsets in text_blocks(batch.column(1)):
+                hashes, heads = shingle_sets(data, offsets, width)
+                ids = batch.column(0).take(pa.array(row + np.repeat(np.arange(len(heads) - 1), np.diff(heads))))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(hashes.view(np.int64))], ["id", "shingle"])
+
+    listed = texts.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(run, "id bigint, shingle bigint")
+    alone = listed.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("_last")).where("id = _last").groupBy("id").agg(F.count("*").alias("alone"))
+    smallest = rows.groupBy("bucket").agg(F.min("n_shingles").alias("smallest"))
+    known = rows.drop("common").join(alone, "id", "left").withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0))).drop("alone")
+    partner = F.greatest(F.col("smallest") * 100, F.col("n_shingles") * percent)  # the least size of a partner, times 100
+    fits = F.col("common") * 100 * (100 + percent) >= (F.col("n_shingles") * 100 + partner) * percent
+    return known.join(smallest, "bucket").where(fits).drop("smallest")
+
+
 def _possible(percent: int):
     """What set sizes and signatures leave possible: sizes within the similarity, and bits that agree."""
     differing = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_a_2"))) + F.bit_count(F.col("bits_b").bitwiseXOR(F.col("bits_b_2")))
