@@ -166,6 +166,11 @@ def look_alikes() -> dict[int, str]:
     return table
 
 
+@lru_cache(maxsize=1)
+def look_alike_characters() -> frozenset[str]:
+    return frozenset(map(chr, look_alikes()))
+
+
 def lowered(text: str) -> str:
     low = text.lower()
     return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
@@ -210,7 +215,7 @@ def disguised(text: str) -> dict[str, list[tuple[int, int]]]:
             steps.append(step)
 
     if not text.isascii():
-        if look_alikes().keys() & set(text):
+        if not look_alike_characters().isdisjoint(set(text)):
             plain = text.translate(look_alikes())  # one character for one, so positions stay
         apply([(*m.span(), "") for m in _WIDTHLESS.finditer(plain)])
     low = lowered(plain)
