@@ -6,8 +6,9 @@ that share a band are candidates, and links are confirmed on the full shingle se
 
 Texts with equal sets are one class from the start. In a bucket of candidates, members are first compared with one leader; whatever that
 joins needs no further comparison, as only the groups are wanted. Of what a bucket still holds in different groups, members go whose own
-shingles, shared with no other of them, leave too few for any link; the pairs that remain are compared, unless signatures or set sizes
-rule a link out. So a large group of copies costs its size and not its square.
+shingles, shared with no other of them, leave too few for any link; the rest is compared with the bucket's most central member, and what
+then remains in pairs that share one of their rarest shingles, unless signatures or set sizes rule a link out. So a large group of copies costs its size and
+not its square.
 
 With 32 bands of 4, a pair at similarity 0.8 is missed with a chance below 1e-7, and the signature test (95 of 128 bits) passes it with
 a chance above 1 - 1e-7.
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labweave.llm.arrays import WHITE_SPACE, distinct_by_row, hashed_words, mix, shingle_hashes, stream, text_blocks
@@ -143,10 +144,14 @@ def near_duplicates(docs: DataFrame, width: int, percent: int = 80, key: str = "
     open_ = stored(_divided(held).join(slim, "id"))
     for _ in range(2):  # fewer members have fewer shingles in common
         open_ = stored(_divided(_linkable(open_, texts, width, percent)))
-    other = open_.select("bucket", *(F.col(c).alias(f"{c}_2") for c in ("id", "group", "n_shingles", "bits_a", "bits_b", "common")))
-    enough = F.least("common", "common_2") * (100 + percent) >= (F.col("n_shingles") + F.col("n_shingles_2")) * percent
-    pairs = open_.join(other, "bucket").where((F.col("id") < F.col("id_2")) & (F.col("group") != F.col("group_2")) & _possible(percent) & enough)
-    groups = _joined(groups, pairs.select(F.col("id").alias("a"), F.col("id_2").alias("b")).distinct(), texts, None, width, percent)
+        # the member with the fewest shingles of its own is the most central; what it joins needs no pairs
+        own = (F.col("common") - F.col("n_shingles")).alias("own")
+        hubs = open_.groupBy("bucket").agg(F.max(F.struct(own, (-F.col("id")).alias("to"))).alias("best")).select("bucket", (-F.col("best.to")).alias("hub"))
+        spokes = open_.join(hubs, "bucket").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+        groups = _joined(groups, spokes, texts, slim, width, percent)
+        open_ = stored(_divided(_with_group(open_.drop("group"), groups, "id", "group")))
+    pairs = _sharing(open_, texts, width, percent)
+    groups = _joined(groups, pairs, texts, None, width, percent)
     member = drawn.join(classes, ["low", "high"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("id")))
     found = _with_group(member.withColumn("rep", F.when(F.col("id").isNotNull(), F.col("rep"))), groups, "rep", "component_id")
     return found.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
@@ -158,13 +163,8 @@ def _divided(rows: DataFrame) -> DataFrame:
     return rows.join(split, "bucket", "left_semi")
 
 
-def _linkable(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """``rows`` with ``common``, the shingles that any other of them has too, less those whose number rules out every link.
-
-    Two sets share at most the ``common`` of either, and a partner in the bucket has at least the bucket's smallest size; this is exact.
-    A copy with edits of its own is so turned away by counting, not by comparing it with every other copy.
-    """
-    wanted = rows.select("id").distinct()
+def _listed(rows: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``id`` and ``shingle``: the full sets of the members in ``rows``."""
 
     def run(batches):
         for batch in batches:
@@ -173,12 +173,49 @@ def _linkable(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
                 ids = batch.column(0).take(pa.array(row + np.repeat(np.arange(len(heads) - 1), np.diff(heads))))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(hashes.view(np.int64))], ["id", "shingle"])
 
-    listed = texts.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(run, "id bigint, shingle bigint")
+    return texts.join(rows.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(run, "id bigint, shingle bigint")
+
+
+def _partner(percent: int):
+    """The least size of a partner, times 100."""
+    return F.greatest(F.col("smallest") * 100, F.col("n_shingles") * percent)
+
+
+def _sharing(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of different groups among the members in ``rows`` that can have a link; this is exact.
+
+    Of two sets that share so much, each must hold one of the other's rarest shingles: as many as it may miss, and one more. Pairs meet
+    on those only, and a shingle's largest group is not joined with itself.
+    """
+    smallest = rows.groupBy("bucket").agg(F.min("n_shingles").alias("smallest"))
+    one = rows.join(smallest, "bucket").groupBy("id", "group", "n_shingles", "bits_a", "bits_b").agg(F.min("smallest").alias("smallest"))
+    listed = stored(_listed(rows, texts, width))
+    spread = listed.groupBy("shingle").agg(F.count("*").alias("spread"))
+    rare = F.row_number().over(Window.partitionBy("id").orderBy("spread", "shingle"))
+    missed = F.floor((F.col("n_shingles") * 100 * (100 + percent) - (F.col("n_shingles") * 100 + _partner(percent)) * percent) / (100 * (100 + percent)))
+    ranked = listed.join(spread, "shingle").withColumn("rare", rare).where("spread > 1").join(one, "id").where(F.col("rare") <= missed + 1)
+    tokens = stored(ranked.select("shingle", "id", "group", "n_shingles", "bits_a", "bits_b", "rare"))
+    sizes = tokens.groupBy("shingle", "group").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "group")).alias("most"), F.count("*").alias("groups"))
+    asked = tokens.join(sizes.where("groups > 1").select("shingle", F.col("most.group").alias("most")), "shingle").where("group <> most").drop("most")
+    other = tokens.select("shingle", *(F.col(c).alias(f"{c}_2") for c in ("id", "group", "n_shingles", "bits_a", "bits_b", "rare")))
+    # what is left of either set from the shared shingle on bounds what they share
+    left = F.least(F.col("n_shingles") - F.col("rare"), F.col("n_shingles_2") - F.col("rare_2")) + 1
+    enough = left * (100 + percent) >= (F.col("n_shingles") + F.col("n_shingles_2")) * percent
+    met = asked.join(other, "shingle").where((F.col("group") != F.col("group_2")) & enough & _possible(percent))
+    return met.select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct()
+
+
+def _linkable(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """``rows`` with ``common``, the shingles that any other of them has too, less those whose number rules out every link.
+
+    Two sets share at most the ``common`` of either, and a partner in the bucket has at least the bucket's smallest size; this is exact.
+    A copy with edits of its own is so turned away by counting, not by comparing it with every other copy.
+    """
+    listed = _listed(rows, texts, width)
     alone = listed.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("_last")).where("id = _last").groupBy("id").agg(F.count("*").alias("alone"))
     smallest = rows.groupBy("bucket").agg(F.min("n_shingles").alias("smallest"))
     known = rows.drop("common").join(alone, "id", "left").withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0))).drop("alone")
-    partner = F.greatest(F.col("smallest") * 100, F.col("n_shingles") * percent)  # the least size of a partner, times 100
-    fits = F.col("common") * 100 * (100 + percent) >= (F.col("n_shingles") * 100 + partner) * percent
+    fits = F.col("common") * 100 * (100 + percent) >= (F.col("n_shingles") * 100 + _partner(percent)) * percent
     return known.join(smallest, "bucket").where(fits).drop("smallest")
 
 
