@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from labweave.fixed_values import MISSING_TOKENS
 
-# the ASCII characters that str.strip() removes
-SPACE = "".join(chr(c) for c in (*range(9, 14), *range(28, 33)))
+# the characters that str.strip() removes, those beyond ASCII included
+SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 # plain decimal or exponent notation, blanks around it allowed
 NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 

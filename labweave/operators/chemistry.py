@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labweave.functions.cleaning import strip
+
 AVOGADRO = 6.022e23
 CUBIC_ANGSTROM = 1e-24
 
@@ -49,7 +51,7 @@ def first_energy(results: DataFrame, formula: str = "CO") -> DataFrame:
         F.coalesce(entry["adsorbate_species"]["formula"], F.lit("")).alias("formula"),
         F.coalesce(entry["is_most_stable_site"], F.lit(False)).alias("stable"),
         F.coalesce(entry["adsorption_energy"], F.lit(0.0)).alias("energy"),
-        F.coalesce(entry["bulk_surface_property_set"]["bulk_surface_material"]["name"], F.lit("")).alias("material"),
+        strip(F.coalesce(entry["bulk_surface_property_set"]["bulk_surface_material"]["name"], F.lit(""))).alias("material"),
     )
     return (
         rows.filter((F.col("formula") == formula) & F.col("stable") & (F.col("material") != ""))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labweave.functions.cleaning import quantise
-from labweave.functions.lowdiscrepancy import MAX_DIMENSIONS, sobol_point
+from labweave.functions.lowdiscrepancy import BITS, MAX_DIMENSIONS, sobol_point
 from labweave.operators.columns import quoted
 
 Factors = Mapping[str, tuple[float, float, float]]
@@ -66,6 +66,8 @@ def saltelli_blocks(
         raise ValueError(f"at most {MAX_DIMENSIONS // 2} factors")
     skip = default_skip(points) if skip is None else skip
     bits = max(1, (points + skip).bit_length())
+    if bits > BITS:
+        raise ValueError(f"the sequence has 2^{BITS} points; {points} blocks after a skip of {skip} would repeat them")
     index = F.col(quoted(block_id)).cast("bigint") + F.lit(skip)
     low_high = list(bounds.values())
 

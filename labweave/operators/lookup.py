@@ -69,6 +69,13 @@ def lookup(
     )
     fact_key = strip(F.col(quoted(key)))
     if bounded is None:
+        # one row for each stripped key, so that no fact is doubled: the one with the smallest raw key
+        names = [f"_dim_{i}" for i in range(len(attributes))]
+        raw = side.withColumn("_raw", F.col("_dim_key")) if not names else dim.select(
+            strip(F.col(quoted(dim_key))).alias("_dim_key"), F.col(quoted(dim_key)).cast("string").alias("_raw"),
+            *[F.col(quoted(a)).alias(n) for a, n in zip(attributes, names)],
+        )
+        side = raw.groupBy("_dim_key").agg(F.min_by(F.struct("_raw", *names), "_raw").alias("_row")).select("_dim_key", *[f"_row.{n}" for n in names])
         small = bounded_copy(side)
         bounded, side = small is not None, small if small is not None else side
     if bounded:

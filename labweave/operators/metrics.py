@@ -58,11 +58,13 @@ def normal_qq(df: DataFrame, residual: str, key: str) -> DataFrame:
 
 
 def qq_line(qq: DataFrame) -> DataFrame:
-    """Least-squares line and correlation of a Q-Q table."""
+    """Least-squares line and correlation of a Q-Q table; residuals without spread have no correlation (null)."""
+    x, y = F.when(F.col("ordered").isNotNull(), F.col("theoretical")), F.when(F.col("theoretical").isNotNull(), F.col("ordered"))
+    cov = F.covar_pop("ordered", "theoretical")
+    slope = F.try_divide(cov, F.var_pop(x))
     return qq.agg(
-        F.regr_slope("ordered", "theoretical").alias("slope"),
-        F.regr_intercept("ordered", "theoretical").alias("intercept"),
-        F.corr("ordered", "theoretical").alias("r"),
+        slope.alias("slope"), (F.avg(y) - slope * F.avg(x)).alias("intercept"),
+        F.try_divide(cov, F.stddev_pop(x) * F.stddev_pop(y)).alias("r"),
     )
 
 

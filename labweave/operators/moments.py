@@ -30,10 +30,16 @@ def _pair_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(columns)
 
 
+def present(column: str) -> Column:
+    """The column as a double, with null for NaN."""
+    x = F.col(quoted(column)).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def centred(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The columns as doubles minus their means, so that sums of squares keep their digits."""
-    known = with_stats(df, df, **{f"m{i}": F.avg(quoted(c)) for i, c in enumerate(columns)})
-    return known.select(*[(F.col(quoted(c)).cast("double") - stat(f"m{i}")).alias(f"c{i}") for i, c in enumerate(columns)])
+    known = with_stats(df, df, **{f"m{i}": F.avg(present(c)) for i, c in enumerate(columns)})
+    return known.select(*[(present(c) - stat(f"m{i}")).alias(f"c{i}") for i, c in enumerate(columns)])
 
 
 def pair_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -52,4 +58,5 @@ def pair_correlation() -> Column:
     n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
     cov = F.col("sxy") - sx * sy / n
     vx, vy = F.col("sxx") - sx * sx / n, F.col("syy") - sy * sy / n
-    return F.when((n > 1) & (vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
+    # what rounding leaves of a constant column is no spread
+    return F.when((n > 1) & (vx > F.col("sxx") * 1e-14) & (vy > F.col("syy") * 1e-14), cov / F.sqrt(vx * vy))

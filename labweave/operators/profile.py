@@ -12,14 +12,17 @@ from labweave.functions.binning import bin_interval, with_right_closed_bins
 from labweave.functions.stats import STATS, stat, with_stats
 from labweave.operators.columns import quoted
 from labweave.operators.lookup import bounded_copy, salted_left_join
-from labweave.operators.moments import pair_correlation, pair_moments
+from labweave.operators.moments import pair_correlation, pair_moments, present
 from labweave.operators.quantiles import group_quantiles
 
 MAX_CODEGEN_PAIRS = 28
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(name_i, name_j, corr, n)`` for i < j, each pair over its own complete rows."""
+    """``(name_i, name_j, corr, n)`` for i < j, each pair over its own complete rows.
+
+    NaN counts as missing, and a column without spread has no correlation (null), however many columns there are.
+    """
     pairs = list(combinations(range(len(columns)), 2))
     if len(pairs) > MAX_CODEGEN_PAIRS:
         names = F.array(*[F.lit(c) for c in columns])
@@ -29,9 +32,15 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             pair_correlation().alias("corr"),
             F.col("n").cast("bigint").alias("n"),
         )
-    x = [F.col(quoted(c)).cast("double") for c in columns]
-    row = df.agg(
-        *[F.corr(x[i], x[j]).alias(f"r_{i}_{j}") for i, j in pairs],
+    x = [present(c) for c in columns]
+    row = df.select(*[v.alias(f"x{i}") for i, v in enumerate(x)])
+    x = [F.col(f"x{i}") for i in range(len(columns))]
+
+    def spread(a, b):
+        return F.stddev_pop(F.when(b.isNotNull(), a))
+
+    row = row.agg(
+        *[F.try_divide(F.covar_pop(x[i], x[j]), spread(x[i], x[j]) * spread(x[j], x[i])).alias(f"r_{i}_{j}") for i, j in pairs],
         *[F.count(F.when(x[i].isNotNull() & x[j].isNotNull(), 1)).alias(f"n_{i}_{j}") for i, j in pairs],
     )
     cells = [
@@ -68,9 +77,10 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = F
         row = df.agg(*[F.approx_count_distinct(quoted(c)).alias(f"n{i}") for i, c in enumerate(columns)])
         cells = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n_distinct")) for i, c in enumerate(columns)]
         return row.select(F.inline(F.array(*cells)))
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(quoted(c)).cast("string").alias("v")) for c in columns]
-    )
+    kinds = dict(df.dtypes)
+    # adding zero makes the two zeros of floating point one value
+    value = {c: F.col(quoted(c)) + F.lit(0.0) if kinds[c] in ("double", "float") else F.col(quoted(c)) for c in columns}
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), value[c].cast("string").alias("v")) for c in columns])
     counted = df.select(F.inline(pairs)).distinct().groupBy("column").agg(F.count("v").alias("n_distinct"))
     return counted
 

@@ -38,8 +38,9 @@ def run_targets(
     """
     rows: list[tuple] = []
     for target in targets:
-        data = training_rows(table, features, target, key).persist()
+        data = ready = None
         try:
+            data = training_rows(table, features, target, key).persist()
             train, test = data.filter(~F.col("is_test")), data.filter("is_test")
             prep = preprocessing(features).fit(train)
             ready = prep.transform(train).persist()
@@ -52,10 +53,13 @@ def run_targets(
                     if model_root:
                         save_model(whole, model_root, target, name)
                 except Exception as problem:  # one model must not end the run
-                    rows.append((target, name, None, None, f"failed: {str(problem)[:200]}"))
-            ready.unpersist()
+                    rows.append((target, name, None, None, f"failed: {problem}"))
+        except Exception as problem:  # nor may one target's preprocessing
+            rows += [(target, name, None, None, f"failed: {problem}") for name in models]
         finally:
-            data.unpersist()
+            for held in (ready, data):
+                if held is not None:
+                    held.unpersist()
     results = result_rows(table.sparkSession, rows)
     return results.withColumn("status", F.when(F.col("status").startswith("failed"), "failed").otherwise(F.col("status")))
 

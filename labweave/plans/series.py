@@ -44,7 +44,7 @@ def exergy_series(sheet: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return sheet_series(sheet, EXERGY_WINDOWS, EXERGY_NAMES, EXERGY_ORDINALS, keys)
 
 
-def reaction_series(sheet: DataFrame, first: int = 7, last: int = 27, row: str = "_row", keys: Sequence[str] = ()) -> DataFrame:
+def reaction_series(sheet: DataFrame, first: int = 7, last: int = 26, row: str = "_row", keys: Sequence[str] = ()) -> DataFrame:
     """Temperature and the four reaction quantities of each reaction, as rows."""
     names = [c for c in sheet.columns if c != row and c not in keys]
     data = sheet.filter(F.col(row).between(first + 1, last + 1)).select(

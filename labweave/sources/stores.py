@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable
 
 from pyspark.ml import PipelineModel
@@ -14,7 +15,11 @@ RESULT_SCHEMA = "target string, model string, metric string, value double, statu
 
 
 def model_path(root: str, target: str, model: str) -> str:
-    clean = lambda text: "".join(c if c.isalnum() else "_" for c in text)
+    def clean(text: str) -> str:
+        """A folder name; names that would meet after cleaning keep a checksum apart."""
+        plain = "".join(c if c.isalnum() else "_" for c in text)
+        return plain if plain == text else f"{plain}_{zlib.crc32(text.encode()):08x}"
+
     return f"{root.rstrip('/')}/target={clean(target)}/model={clean(model)}"
 
 

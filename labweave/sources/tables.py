@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,13 +59,14 @@ def read_delimited(
     else:
         flags = reduce(DataFrame.unionByName, [text_encodings(spark, p) for p in paths]).collect()
         groups = {
-            "UTF-8": sorted(r.path for r in flags if r.utf8),
-            fallback: sorted(r.path for r in flags if not r.utf8),
+            "UTF-8": sorted(unquote(r.path) for r in flags if r.utf8),
+            fallback: sorted(unquote(r.path) for r in flags if not r.utf8),
         }
     parts = []
     for name, files in groups.items():
         if files:
             reader = spark.read.option("header", True).option("encoding", name).option("multiLine", multi_line)
+            reader = reader.option("enforceSchema", False)  # a file whose header differs is an error, not read under another's
             for key, value in options.items():
                 reader = reader.option(key, value)
             parts.append((reader.schema(schema) if schema else reader).csv(files))

@@ -121,7 +121,7 @@ def plan_flow_series(spark, sf):
 
 
 def reaction_sql() -> str:
-    base = "SELECT event_id // 21 AS sheet, event_id % 21 + 8 AS _row, value FROM events"
+    base = "SELECT event_id // 21 AS sheet, event_id % 21 + 8 AS _row, value FROM events WHERE event_id % 21 < 20"  # the last of 21 rows lies below the region
     return f"WITH b AS ({base}) " + " UNION ALL ".join(
         f"SELECT sheet, _row, round(value, 2) AS temperature, {i + 1} AS block, "
         + ", ".join(f"round(value + {start + REACTION_STRIDE * i}, 2) AS \"{q}\"" for q, start in REACTION_BLOCKS.items())
