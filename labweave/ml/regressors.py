@@ -23,10 +23,13 @@ MAX_DEPTH = 30
 
 
 def _depth(params: Mapping) -> int:
+    """The depth asked for; none means as deep as Spark's trees go, and more than that is an error."""
     depth = params.get("max_depth") or MAX_DEPTH
+    if depth > MAX_DEPTH:
+        raise ValueError(f"trees have a depth of at most {MAX_DEPTH}, not {depth}")
     if params.get("num_leaves"):
         depth = min(depth, ceil(log2(params["num_leaves"])))
-    return int(min(depth, MAX_DEPTH))
+    return int(depth)
 
 
 def _leaf(params: Mapping) -> int:

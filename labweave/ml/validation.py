@@ -116,7 +116,7 @@ def search(
             row = scores.agg(F.avg("r2").alias("m"), F.stddev_pop("r2").alias("s")).first()
             return k, shown, row.m, row.s, "ok"
         except Exception as problem:  # a bad candidate must not end the search
-            return k, shown, None, None, f"failed: {str(problem)[:200]}"
+            return k, shown, None, None, f"failed: {problem}"
 
     try:
         rows = run_parallel(spark, [lambda k=k: trial(k) for k in range(len(candidates))], parallelism)

@@ -30,10 +30,11 @@ def bounded_copy(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame | None
 def salted_left_join(facts: DataFrame, side: DataFrame, fact_key: Column, side_key: str) -> DataFrame:
     """Left join by shuffle with the facts salted and the unique-keyed side replicated per salt.
 
-    A key that holds a large share of the facts is spread over ``SALTS`` tasks.
+    A key that holds a large share of the facts is spread over ``SALTS`` tasks. The salt hangs on the row and on the task that reads it,
+    so equal rows of different tasks spread too, and a repeated task draws the same salts.
     """
     replicated = side.withColumn("_salt_r", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64(*[quoted(c) for c in facts.columns]), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64(*[quoted(c) for c in facts.columns], F.spark_partition_id()), F.lit(SALTS)).cast("int")
     condition = (fact_key == F.col(side_key)) & (F.col("_salt_l") == F.col("_salt_r"))
     return facts.withColumn("_salt_l", salt).join(replicated, condition, "left")
 
@@ -119,8 +120,8 @@ def unmap_names(names: DataFrame, name_map: Mapping[str, str], column: str = "fe
 
 
 def concat_columns(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Put two tables side by side, aligned on a row key."""
-    return left.join(right, key, "inner")
+    """Put two tables side by side, aligned on a row key; rows that only one of them has stay, with nulls for the other."""
+    return left.join(right, key, "full")
 
 
 def name_pairs(spark: SparkSession, names: Sequence[str], outputs: Sequence[str] = ()) -> DataFrame:

@@ -23,11 +23,21 @@ MAX_GROUPS = 10_000
 LEAF_ROWS = 1_000_000
 TREE_STEPS = 64
 MAX_PIECES = 8192
+SKETCH_TASKS = 64
 
 
-def _ladder(values: Column, steps: int) -> Column:
+def _ladders(rows: DataFrame, key: str, value: str, steps: int) -> dict[object, list[float]]:
+    """The approximate quantiles of ``value`` for each ``key``, in order and with repeats.
+
+    Each scan task sends its sketch to one of ``SKETCH_TASKS`` tasks, and these merge the sketches in parallel; only their ladders, of
+    fixed length, meet in one place, weighted by the rows behind them.
+    """
     fractions = [i / steps for i in range(1, steps)]
-    return F.percentile_approx(values, fractions, max(10_000, steps * 20))
+    sketch = F.percentile_approx(value, fractions, max(10_000, steps * 20))
+    parts = rows.groupBy(key, (F.spark_partition_id() % SKETCH_TASKS).alias("_part")).agg(F.count(value).alias("_rows"), sketch.alias("_rungs"))
+    rungs = parts.where("_rows > 0").select(key, F.explode("_rungs").alias("_rung"), "_rows")
+    merged = rungs.groupBy(key).agg(F.percentile("_rung", fractions, F.col("_rows")).alias("_ladder"))
+    return {r[0]: r[1] for r in merged.collect()}
 
 
 def _search(value: Column, steps: Sequence[float], offset: int) -> Column:
@@ -94,7 +104,7 @@ def _read_leaves(rows: DataFrame, cells: Sequence[_Cell], kind: str) -> dict[tup
 def _split_cells(rows: DataFrame, cells: Sequence[_Cell], kind: str, steps: int, values: dict) -> list[_Cell]:
     """Cut long cells along a ladder; ranks that fall on a rung are done."""
     members = _rows_in_cells(rows, cells, kind)
-    ladders = {r.cell: sorted(set(r.ladder)) for r in members.groupBy("cell").agg(_ladder(F.col("v"), steps).alias("ladder")).collect()}
+    ladders = {cell: sorted(set(rungs)) for cell, rungs in _ladders(members, "cell", "v", steps).items()}
     table = local_table(rows.sparkSession, list(ladders.items()), "lcell int, ladder array<double>")
     pieces = (
         members.join(F.broadcast(table), F.col("cell") == F.col("lcell"))
@@ -177,9 +187,10 @@ def with_global_rank(df: DataFrame, value: str, tie: str, name: str = "rank", st
     v, t = F.col(quoted(value)).cast("double"), F.col(quoted(tie)).cast("double")
     if steps is None:
         steps = min(MAX_PIECES, max(TREE_STEPS, rows.count() // LEAF_ROWS))
-    got = rows.agg(_ladder(v, steps).alias("v"), _ladder(t, steps).alias("t")).first()
-    rungs = got.v or []
-    ladder, tie_ladder = sorted(set(rungs)), sorted(set(got.t or []))
+    both = rows.select(F.inline(F.array(F.struct(F.lit("v").alias("which"), v.alias("x")), F.struct(F.lit("t").alias("which"), t.alias("x")))))
+    got = _ladders(both, "which", "x", steps)
+    rungs = got.get("v", [])
+    ladder, tie_ladder = sorted(set(rungs)), sorted(set(got.get("t", [])))
     repeats = {s: rungs.count(s) for s in ladder}
     fine = F.lit(0)
     for s, times in repeats.items():

@@ -104,6 +104,17 @@ def j5(spark, sf):
     return lookup.concat_columns(left, right, "o_orderkey")
 
 
+@query(
+    "j5_side_by_side_gaps",
+    """SELECT custkey, spent, acctbal FROM (SELECT o_custkey AS custkey, round(sum(o_totalprice), 2) + 0.0 AS spent FROM orders GROUP BY 1)
+       FULL JOIN (SELECT c_custkey AS custkey, c_acctbal AS acctbal FROM customer) USING (custkey)""",
+)
+def j5_gaps(spark, sf):
+    """Customers without orders keep their row."""
+    spent = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(r(F.sum("o_totalprice"), 2).alias("spent"))
+    return lookup.concat_columns(spent, table(spark, sf, "customer").select(F.col("c_custkey").alias("custkey"), F.col("c_acctbal").alias("acctbal")), "custkey")
+
+
 PAIR_NAMES = ["l_quantity", "l_discount", "l_tax"]
 PAIR_SQL = " UNION ALL ".join(
     f"SELECT {i} AS i, {j} AS j, '{PAIR_NAMES[i]}' AS name_i, '{PAIR_NAMES[j]}' AS name_j, '{o}' AS output, "

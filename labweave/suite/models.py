@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from labweave.functions.hashing import MODULUS
 from labweave.ml import explain, prep, regressors, validation
 from labweave.ml.imputer import ChainedImputer
-from labweave.operators.metrics import regression_metrics, score_summary
+from labweave.operators.metrics import score_summary
 from labweave.operators.rows import with_fold, with_split
 from labweave.plans.modelling import run_targets
 from labweave.session import shared_dir
@@ -78,33 +81,52 @@ def g4(spark, sf):
     return prep.with_dummies(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus")
 
 
+def held_out_sql(*models: str) -> str:
+    """What must hold of models scored on the held-out orders, whatever their trees look like."""
+    listed = ", ".join(f"('{m}')" for m in models)
+    return f"""
+    WITH d AS (SELECT * FROM ({ORDER_SQL}) WHERE {sql_hash('k', 42)} < {int(round(0.2 * MODULUS))})
+    SELECT model, count(*) AS n_test, count(*) AS predicted, round(sum(label), 2) + 0.0 AS label_total, true AS beats_mean FROM d, (VALUES {listed}) m(model) GROUP BY 1"""
+
+
+def held_out_facts(scored):
+    """Held-out rows and predictions of each model, and whether its squared error is below that of the mean."""
+    finite = F.col("prediction").isNotNull() & ~F.isnan("prediction")
+    error = F.avg((F.col("label") - F.col("prediction")) ** 2)
+    return scored.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n_test"), F.count(F.when(finite, 1)).alias("predicted"), r(F.sum("label"), 2).alias("label_total"),
+        (error < F.var_pop("label")).alias("beats_mean"),
+    )
+
+
 def held_out_scores(spark, sf, models):
-    """Test metrics of each model, all trained on the same rows."""
-    data = prepared(spark, sf).persist()
-    train, test = data.filter(~F.col("is_test")), data.filter("is_test")
+    """Facts about each model on the test rows, all trained on the same rows."""
+    data = prepared(spark, sf)
+    train, test = data.filter(~F.col("is_test")).persist(), data.filter("is_test")
     scored = None
     for name, model in models.items():
         one = model.fit(train).transform(test).select(F.lit(name).alias("model"), "label", "prediction")
         scored = one if scored is None else scored.unionByName(one)
-    return regression_metrics(scored, "label", "prediction", ["model"])
+    train.unpersist()
+    return held_out_facts(scored)
 
 
-@query("m1_random_forest")
+@query("m1_random_forest", held_out_sql("RF"))
 def m1(spark, sf):
     return held_out_scores(spark, sf, {"RF": regressors.random_forest(n_trees=10, max_depth=6, min_split=10, min_leaf=2)})
 
 
-@query("m2_bagged_trees")
+@query("m2_bagged_trees", held_out_sql("BR"))
 def m2(spark, sf):
     return held_out_scores(spark, sf, {"BR": regressors.bagged_trees(n_trees=10, max_depth=6, row_fraction=0.8)})
 
 
-@query("m3_gradient_boosting")
+@query("m3_gradient_boosting", held_out_sql("GBDT"))
 def m3(spark, sf):
     return held_out_scores(spark, sf, {"GBDT": regressors.gradient_boosting(n_trees=8, max_depth=3, learning_rate=0.2)})
 
 
-@query("m4_boosting_presets")
+@query("m4_boosting_presets", held_out_sql("XGB", "LGBM", "CB"))
 def m4(spark, sf):
     presets = {
         "XGB": regressors.depthwise_boosting(n_trees=5, row_fraction=0.8, column_fraction=0.8),
@@ -146,31 +168,44 @@ def m6(spark, sf):
     return fitted.transform(rows).select("l_orderkey", "l_quantity", r("prediction", 2).alias("prediction"))
 
 
-@query("m7_stacking")
+@query("m7_stacking", held_out_sql("stack"))
 def m7(spark, sf):
-    data = prepared(spark, sf).persist()
-    train, test = data.filter(~F.col("is_test")), data.filter("is_test")
+    data = prepared(spark, sf, 5)
+    train, test = data.filter(~F.col("is_test")).persist(), data.filter("is_test")
     bases = {
         "rf": lambda _: regressors.random_forest(n_trees=5, max_depth=5),
         "gb": lambda _: regressors.gradient_boosting(n_trees=4, max_depth=3),
     }
-    stack = validation.fit_stacking(train, bases, folds=3)
-    return regression_metrics(stack.transform(test), "label", "prediction")
+    stack = validation.fit_stacking(train, bases, folds=5)
+    train.unpersist()
+    return held_out_facts(stack.transform(test).withColumn("model", F.lit("stack")))
+
+
+def trial_facts(results, allowed):
+    """Of each trial: how it ended, whether it beats the mean, and whether its parameters are among the ``allowed`` (name to rule)."""
+    fits = reduce(lambda a, b: a & b, (rule(F.col("params")[name]) for name, rule in allowed.items()))
+    return results.select("trial", "status", (F.col("mean_score") > 0).alias("beats_mean"), F.size("params").alias("n_params"), fits.alias("allowed"))
+
+
+def trial_sql(n: int, params: int) -> str:
+    return f"SELECT CAST(i AS INTEGER) AS trial, 'ok' AS status, true AS beats_mean, {params} AS n_params, true AS allowed FROM range({n}) t(i) WHERE (SELECT count(*) FROM lineitem) > 0"
 
 
-@query("m8_random_search")
+@query("m8_random_search", trial_sql(3, 4))
 def m8(spark, sf):
     choices = {"n_trees": [4, 8], "max_depth": [3, 5, None], "min_split": [2, 10], "min_leaf": [1, 4]}
-    fixed = [{**c, "max_depth": c["max_depth"] or 7} for c in validation.draw_choices(choices, 3)]
-    return validation.search(prepared(spark, sf), regressors.random_forest, fixed, folds=3)
+    listed = {name: (lambda c, values=values: c.isin(*map(str, values))) for name, values in choices.items()}
+    results = validation.search(prepared(spark, sf, 5), regressors.random_forest, validation.draw_choices(choices, 3), folds=5)
+    return trial_facts(results, listed)
 
 
-@query("m9_range_search")
+@query("m9_range_search", f"SELECT *, 'cv' AS score_on FROM ({trial_sql(2, 4)}) UNION ALL SELECT *, 'train' FROM ({trial_sql(1, 4)})")
 def m9(spark, sf):
     ranges = {"n_trees": (2, 5), "learning_rate": (0.01, 0.3, "log"), "max_depth": (2, 4), "row_fraction": (0.5, 1.0)}
-    cv = validation.search(prepared(spark, sf), regressors.gradient_boosting, validation.draw_ranges(ranges, 2), folds=3)
+    inside = {name: (lambda c, low=low, high=high: c.cast("double").between(low, high)) for name, (low, high, *_) in ranges.items()}
+    cv = validation.search(prepared(spark, sf, 5), regressors.gradient_boosting, validation.draw_ranges(ranges, 2), folds=5)
     train = validation.search(prepared(spark, sf), regressors.gradient_boosting, validation.draw_ranges(ranges, 1), score_on="train")
-    return cv.withColumn("score_on", F.lit("cv")).unionByName(train.withColumn("score_on", F.lit("train")))
+    return trial_facts(cv, inside).withColumn("score_on", F.lit("cv")).unionByName(trial_facts(train, inside).withColumn("score_on", F.lit("train")))
 
 
 FOLD_SQL = f"SELECT *, CAST({sql_hash('k', 43)} % 5 AS INTEGER) AS fold FROM ({ORDER_SQL})"
@@ -195,19 +230,48 @@ def m10(spark, sf):
     return out.select(r("mean_score").alias("mean_score"), r("std_score").alias("std_score"))
 
 
-@query("m11_feature_elimination")
+def ranking_facts(ranking, told):
+    """Of each feature: that it has a rank, and whether it is among the selected; null for a feature that the target does not ``tell`` on."""
+    return ranking.select(
+        "feature", (F.col("rank").isNotNull() & (F.col("selected") == (F.col("rank") == 1))).alias("ranked"),
+        F.when(F.col("feature").isin(*told), F.col("selected")).alias("selected"),
+    )
+
+
+def ranking_sql(*told: str) -> str:
+    rows = ", ".join(f"('{f}', true, {'true' if f in told else 'NULL::BOOLEAN'})" for f in FEATURES)
+    return f"SELECT * FROM (VALUES {rows}) v(feature, ranked, selected) WHERE (SELECT count(*) FROM lineitem) > 0"
+
+
+@query(
+    "m11_feature_elimination",
+    f"""SELECT 'ranking' AS part, * FROM ({ranking_sql('qty')}) UNION ALL
+        SELECT 'curve', 'n=' || n, true, n >= 3 FROM range(1, {len(FEATURES) + 1}) t(n)""",
+)
 def m11(spark, sf):
-    data = with_fold(order_features(spark, sf), "k", 2)
+    """The target hangs on one feature alone, so that one must be selected; sizes from three on are scored, and beat the mean."""
+    data = with_fold(order_features(spark, sf).withColumn("label", 3 * F.col("qty")), "k", 5)
     ranking, curve = validation.eliminate_features(
-        data, FEATURES, lambda _: regressors.random_forest(n_trees=4, max_depth=4), folds=2, min_features=3
+        data, FEATURES, lambda _: regressors.random_forest(n_trees=4, max_depth=4), folds=5, min_features=3
     )
-    return ranking.select(F.lit("ranking").alias("part"), "feature", F.col("rank").cast("double").alias("value")).unionByName(
-        curve.select(F.lit("curve").alias("part"), F.format_string("n=%d", "n_features").alias("feature"), F.col("r2").alias("value"))
+    sizes = curve.select(
+        F.lit("curve").alias("part"), F.format_string("n=%d", "n_features").alias("feature"), F.lit(True).alias("ranked"),
+        F.coalesce(F.col("r2") > 0, F.lit(False)).alias("selected"),
     )
+    return ranking_facts(ranking, ["qty"]).withColumn("part", F.lit("ranking")).unionByName(sizes)
 
 
-@query("m12_models_by_target")
+@query(
+    "m12_models_by_target",
+    """SELECT target, model, metric, status, CASE WHEN metric <> 'r2' OR target = 'price' THEN true END AS holds FROM (VALUES ('price'), ('price_per_line')) t(target),
+              (VALUES ('RF', 'ok'), ('GBDT', 'ok')) m(model, status), (VALUES ('mse'), ('rmse'), ('r2')) s(metric)
+       UNION ALL SELECT target, 'broken', NULL, 'failed', NULL FROM (VALUES ('price'), ('price_per_line')) t(target)""",
+)
 def m12(spark, sf):
+    """Two models and one that cannot be built, on two targets: errors are positive, and so is R2 for the price.
+
+    The price per line hardly hangs on these features, so nothing is said of its R2.
+    """
     rows = order_features(spark, sf).withColumn("price_per_line", F.col("label") / F.col("lines")).withColumnRenamed("label", "price")
 
     def broken(**_):
@@ -215,7 +279,8 @@ def m12(spark, sf):
 
     models = {"RF": regressors.random_forest, "GBDT": regressors.gradient_boosting, "broken": broken}
     small = {"RF": {"n_trees": 4, "max_depth": 4}, "GBDT": {"n_trees": 3}}
-    return run_targets(rows, FEATURES, ["price", "price_per_line"], "k", models, small)
+    out = run_targets(rows, FEATURES, ["price", "price_per_line"], "k", models, small)
+    return out.select("target", "model", "metric", "status", F.when((F.col("metric") != "r2") | (F.col("target") == "price"), F.col("value") > 0).alias("holds"))
 
 
 @query(
@@ -331,15 +396,13 @@ def a9(spark, sf):
     return explain.ranked_importance(linear_parts(spark, sf), 10).withColumn("mean_abs", r("mean_abs", 4))
 
 
-@query("y2_importance_callback")
+@query("y2_importance_callback", ranking_sql("qty", "late"))
 def y2(spark, sf):
-    """Elimination driven by a caller's importance rule: the scaled coefficients of a linear model."""
-    data = with_fold(order_features(spark, sf), "k", 2)
-    scale = data.agg(*[F.stddev_pop(c).alias(c) for c in FEATURES]).first().asDict()
-    spread = [scale[c] for c in FEATURES]
-    weigh = lambda model: abs(model.coefficients.toArray()) * max(spread)
-    ranking, _ = validation.eliminate_features(data, FEATURES, lambda _: LinearRegression(), folds=2, min_features=4, importance=weigh)
-    return ranking
+    """Elimination driven by a caller's importance rule: the coefficients of a linear model, on a target made of two features."""
+    data = with_fold(order_features(spark, sf).withColumn("label", 2 * F.col("qty") - 3 * F.col("late")), "k", 5)
+    weigh = lambda model: abs(model.coefficients.toArray())
+    ranking, _ = validation.eliminate_features(data, FEATURES, lambda _: LinearRegression(), folds=5, min_features=2, importance=weigh)
+    return ranking_facts(ranking, ["qty", "late"])
 
 
 @query(

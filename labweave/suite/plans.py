@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labweave.fixed_values import (
-    FLOW_ORDINALS, FLOW_WINDOWS, MATERIALS, METHODS, REACTION_BLOCKS, REACTION_COUNT, REACTION_STRIDE, SPECIES, TARGETS,
-    UNIFIED_SCHEMA,
+    EXERGY_ORDINALS, EXERGY_WINDOWS, FLOW_ORDINALS, FLOW_WINDOWS, MATERIALS, METHODS, REACTION_BLOCKS, REACTION_COUNT, REACTION_STRIDE,
+    SPECIES, TARGETS, UNIFIED_SCHEMA, WEIGHT_ORDINALS, YIELD_ORDINALS, YIELD_WINDOWS,
 )
 from labweave.plans import assembly, series
 from labweave.suite.common import query, sql_number, sql_values, table
@@ -89,35 +89,53 @@ def plan_assembly(spark, sf):
 SHEET_ROWS = 240
 
 
-def flow_sheets(spark, sf):
-    """Events cut into sheets of 240 rows with 13 columns each."""
+def event_sheets(spark, sf, width):
+    """Events cut into sheets of 240 rows; the last column of the first sheet is empty."""
     i = F.col("event_id")
     cell = lambda k: F.when((i + k) % 9 == 0, "n/a").otherwise(F.round(F.col("value") + k, 2).cast("string"))
     dead = F.lit(None).cast("string")
-    columns = [F.when((F.lit(k) == 12) & (i < SHEET_ROWS), dead).otherwise(cell(k)).alias(f"c{k}") for k in range(13)]
+    columns = [F.when((F.lit(k) == width - 1) & (i < SHEET_ROWS), dead).otherwise(cell(k)).alias(f"c{k}") for k in range(width)]
     return table(spark, sf, "events").select(
         F.floor(i / SHEET_ROWS).alias("sheet"), (i % SHEET_ROWS + 2).cast("bigint").alias("_row"), *columns
     )
 
 
-def flow_sql() -> str:
+def series_sql(windows, names, ordinals, width) -> str:
     cell = lambda k: f"CASE WHEN (event_id + {k}) % 9 = 0 THEN NULL ELSE round(value + {k}, 2) END"
-    dead = lambda k: f"CASE WHEN {k} = 12 AND event_id < {SHEET_ROWS} THEN NULL ELSE {cell(k)} END"
+    dead = lambda k: f"CASE WHEN {k} = {width - 1} AND event_id < {SHEET_ROWS} THEN NULL ELSE {cell(k)} END"
     base = f"SELECT event_id // {SHEET_ROWS} AS sheet, event_id % {SHEET_ROWS} + 2 AS _row, event_id, value FROM events"
     parts = " UNION ALL ".join(
         f"SELECT sheet, {w} AS window_id, _row, {dead(x)} AS x, '{s}' AS series, {dead(o)} AS value FROM b WHERE _row BETWEEN {first + 1} AND {last + 1}"
-        for w, (x, first, last) in enumerate(FLOW_WINDOWS, start=1)
-        for s, o in zip(SPECIES, FLOW_ORDINALS)
+        for w, (x, first, last) in enumerate(windows, start=1)
+        for s, o in zip(names, ordinals)
     )
     return f"""WITH b AS ({base}), s AS (SELECT * FROM ({parts}) WHERE x IS NOT NULL)
     SELECT s.* FROM s SEMI JOIN (SELECT sheet, window_id, series FROM s GROUP BY ALL HAVING count(value) > 0) k
     ON s.sheet = k.sheet AND s.window_id = k.window_id AND s.series = k.series"""
 
 
-@query("plan_flow_series", flow_sql())
+@query("plan_flow_series", series_sql(FLOW_WINDOWS, SPECIES, FLOW_ORDINALS, 13))
 def plan_flow_series(spark, sf):
     """Thirteen windows of seven species flows from every sheet, in one scan."""
-    return series.flow_series(flow_sheets(spark, sf), ["sheet"])
+    return series.flow_series(event_sheets(spark, sf, 13), ["sheet"])
+
+
+@query("plan_weight_series", series_sql(FLOW_WINDOWS, SPECIES, WEIGHT_ORDINALS, 20))
+def plan_weight_series(spark, sf):
+    """The same windows, read for the species' weights."""
+    return series.weight_series(event_sheets(spark, sf, 20), ["sheet"])
+
+
+@query("plan_yield_series", series_sql(YIELD_WINDOWS, series.YIELD_NAMES, YIELD_ORDINALS, 19))
+def plan_yield_series(spark, sf):
+    """Nine windows of conversions and yields."""
+    return series.yield_series(event_sheets(spark, sf, 19), ["sheet"])
+
+
+@query("plan_exergy_series", series_sql(EXERGY_WINDOWS, series.EXERGY_NAMES, EXERGY_ORDINALS, 16))
+def plan_exergy_series(spark, sf):
+    """Six windows of four exergy series."""
+    return series.exergy_series(event_sheets(spark, sf, 16), ["sheet"])
 
 
 def reaction_sql() -> str:

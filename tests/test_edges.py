@@ -80,3 +80,40 @@ def test_paths_with_blanks_and_headers_that_differ(spark, tmp_path):
     (folder / "two.csv").write_text("v,k\n2,b\n")
     with pytest.raises(Exception, match="(?i)header"):
         read_delimited(spark, str(folder)).collect()
+
+
+def test_sketches_merge_by_weight(spark):
+    """Ladders of unequal tasks, a hot value among them, stay in order and hold the hot value as often as its share."""
+    from labweave.operators.quantiles import _ladders
+
+    rows = spark.range(0, 40_000, 1, 7).selectExpr("'a' AS g", "CASE WHEN id % 3 = 0 THEN 5.0D ELSE CAST(id AS DOUBLE) END AS v")
+    rows = rows.unionByName(spark.createDataFrame([("b", 1.0), ("c", None)], "g string, v double"))
+    got = _ladders(rows, "g", "v", 64)
+    assert set(got) == {"a", "b"} and set(got["b"]) == {1.0}
+    assert got["a"] == sorted(got["a"]) and 19 <= got["a"].count(5.0) <= 23
+
+
+def test_side_by_side_keeps_both_sides(spark):
+    from labweave.operators.lookup import concat_columns
+
+    left, right = spark.createDataFrame([(1, "a"), (2, "b")], "k int, x string"), spark.createDataFrame([(2, "c"), (3, "d")], "k int, y string")
+    assert sorted(map(tuple, concat_columns(left, right, "k").collect())) == [(1, "a", None), (2, "b", "c"), (3, None, "d")]
+
+
+def test_equal_rows_of_different_tasks_spread(spark):
+    from pyspark.sql import functions as F
+
+    from labweave.operators.lookup import salted_left_join
+
+    facts = spark.range(0, 1000, 1, 8).select(F.lit("hot").alias("k"))
+    side = spark.createDataFrame([("hot", 1)], "dk string, n int")
+    joined = salted_left_join(facts, side, F.col("k"), "dk")
+    assert joined.count() == 1000 and joined.where("n = 1").count() == 1000
+    assert joined.select("_salt_l").distinct().count() > 1
+
+
+def test_depth_beyond_the_limit_is_an_error():
+    from labweave.ml.regressors import random_forest
+
+    with pytest.raises(ValueError):
+        random_forest(max_depth=50)
