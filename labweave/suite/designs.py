@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from labweave.fixed_values import QUASI_DESIGN
 from labweave.operators import designs, sensitivity
 from labweave.operators.profile import bounds
+from labweave.plans.sensitivity import study
 from labweave.suite.common import query, r, sql_hash, sql_sobol, table
+from labweave.suite.profiles import bin_sql
 
 FACTORIAL_SQL = """
 WITH k AS (SELECT min(o_orderkey) AS lo, CAST(ceil((max(o_orderkey) + 5 - min(o_orderkey)) / 10.0) AS BIGINT) AS n FROM orders),
@@ -52,15 +54,19 @@ def picks(role: str, d: int) -> list[str]:
 
 
 QUASI_TWO = {k: QUASI_DESIGN[k] for k in ("T", "P")}
-QUASI_SQL = f"WITH {POINTS_SQL}, {ab_sql([v[:2] for v in QUASI_TWO.values()])} " + " UNION ALL ".join(
-    f"SELECT block_id, {k} AS role_no, '{role}' AS role, "
-    + ", ".join(
-        f"least(greatest(round_even({x} / {step!r}, 0) * {step!r}, {float(low)!r}), {float(high)!r}) AS {name}"
-        for x, (name, (low, high, step)) in zip(picks(role, 2), ((n, tuple(map(float, v))) for n, v in QUASI_TWO.items()))
+
+
+def quasi_sql(factors) -> str:
+    d = len(factors)
+    return f"WITH {POINTS_SQL}, {ab_sql([v[:2] for v in factors.values()])} " + " UNION ALL ".join(
+        f"SELECT block_id, {k} AS role_no, '{role}' AS role, "
+        + ", ".join(
+            f"least(greatest(round_even({x} / {step!r}, 0) * {step!r}, {float(low)!r}), {float(high)!r}) AS {name}"
+            for x, (name, (low, high, step)) in zip(picks(role, d), ((n, tuple(map(float, v))) for n, v in factors.items()))
+        )
+        + " FROM ab"
+        for k, role in enumerate(designs.role_names(d))
     )
-    + " FROM ab"
-    for k, role in enumerate(designs.role_names(2))
-)
 
 
 def event_blocks(spark, sf):
@@ -68,7 +74,7 @@ def event_blocks(spark, sf):
     return blocks, blocks.count()
 
 
-@query("e2_saltelli_quantised", QUASI_SQL)
+@query("e2_saltelli_quantised", quasi_sql(QUASI_TWO))
 def e2(spark, sf):
     """One block per event."""
     blocks, n = event_blocks(spark, sf)
@@ -76,6 +82,14 @@ def e2(spark, sf):
     return designs.quantise_design(design, QUASI_TWO)
 
 
+@query("e2_process_design", quasi_sql(QUASI_DESIGN))
+def e2_process(spark, sf):
+    """All four process factors, one block per event."""
+    blocks, n = event_blocks(spark, sf)
+    design = designs.saltelli_blocks(blocks, {k: v[:2] for k, v in QUASI_DESIGN.items()}, n)
+    return designs.quantise_design(design, QUASI_DESIGN)
+
+
 PI = 3.141592653589793
 CUBE = {"x1": (-PI, PI), "x2": (-PI, PI), "x3": (-PI, PI)}
 NAMES = list(CUBE)
@@ -148,12 +162,48 @@ def e3(spark, sf):
     return sensitivity.sobol_indices(table_, NAMES).withColumn("value", r("value"))
 
 
-@query("e4_bootstrap_widths", index_sql({"y": ishigami_sql}, 20))
+@query("e4_bootstrap_widths", index_sql({"y": ishigami_sql}, 100))
 def e4(spark, sf):
     table_ = sensitivity.standardise_blocks(sensitivity.block_table(simulated_runs(spark, sf), 3, ["y"]), 3)
-    return sensitivity.bootstrap_widths(table_, NAMES, 20).withColumn("conf", r("conf"))
+    return sensitivity.bootstrap_widths(table_, NAMES).withColumn("conf", r("conf"))
 
 
 @query("e5_all_outputs", index_sql({"y": ishigami_sql, "p": product_sql}))
 def e5(spark, sf):
     return sensitivity.analyse_outputs(simulated_runs(spark, sf), NAMES, ["y", "p"]).withColumn("value", r("value"))
+
+
+#: As many outputs as a process simulator writes, each with another weight of the third input.
+MANY = {f"out{k}": (lambda x1, x2, x3, k=k: f"({x1} + 4) * ({x2} + 5) + {k} * {x3}") for k in range(25)}
+
+
+def study_runs(spark, sf, n_outputs):
+    blocks, n = event_blocks(spark, sf)
+    x = [F.col(c) for c in NAMES]
+    outputs = {f"out{k}": (x[0] + 4) * (x[1] + 5) + k * x[2] for k in range(n_outputs)}
+    return designs.saltelli_blocks(blocks, CUBE, n).withColumns(outputs)
+
+
+@query("plan_study_indices", index_sql(MANY))
+def plan_study_indices(spark, sf):
+    """Indices of 25 outputs in one study."""
+    return study(study_runs(spark, sf, 25), NAMES, resamples=0)[0].withColumn("value", r("value"))
+
+
+def surfaces_sql(outputs) -> str:
+    roles = designs.role_names(3)
+    runs = " UNION ALL ".join("SELECT " + ", ".join(f"{x} AS {name}" for x, name in zip(picks(role, 3), NAMES)) + " FROM ab" for role in roles)
+    ends = ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in NAMES)
+    cells = ", ".join(f"{bin_sql(c, f'lo_{c}', f'hi_{c}', 100)} AS b_{c}" for c in NAMES)
+    z = ", ".join(f"{f(*NAMES)} AS {name}" for name, f in outputs.items())
+    parts = " UNION ALL ".join(
+        f"SELECT '{a}' AS name_x, '{b}' AS name_y, b_{a} AS bin_x, b_{b} AS bin_y, '{o}' AS output, round(avg({o}), 6) + 0.0 AS z, count(*) AS n FROM s GROUP BY b_{a}, b_{b}"
+        for a, b in combinations(NAMES, 2) for o in outputs
+    )
+    return f"WITH {POINTS_SQL}, {ab_sql(CUBE.values())}, runs AS ({runs}), s AS (SELECT {cells}, {z} FROM runs, (SELECT {ends} FROM runs)) {parts}"
+
+
+@query("plan_study_surfaces", surfaces_sql({k: MANY[k] for k in ("out0", "out1")}))
+def plan_study_surfaces(spark, sf):
+    """Mean outputs over 100 x 100 cells of every pair of inputs."""
+    return study(study_runs(spark, sf, 2), NAMES)[1].withColumn("z", r("z"))

@@ -10,12 +10,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from labweave.fixed_values import SEARCH_RANGES
 from labweave.functions.hashing import MODULUS
 from labweave.ml import explain, prep, regressors, validation
 from labweave.ml.imputer import ChainedImputer
 from labweave.operators.metrics import score_summary
 from labweave.operators.rows import with_fold, with_split
-from labweave.plans.modelling import run_targets
+from labweave.plans.modelling import run_targets, select_features, training_rows, tune_and_fit
 from labweave.session import shared_dir
 from labweave.sources import stores
 from labweave.suite.common import query, r, sql_hash, table
@@ -283,6 +284,28 @@ def m12(spark, sf):
     return out.select("target", "model", "metric", "status", F.when((F.col("metric") != "r2") | (F.col("target") == "price"), F.col("value") > 0).alias("holds"))
 
 
+@query("plan_select_features", f"SELECT feature, ranked, selected, n FROM ({ranking_sql('qty')}), (SELECT count(*) AS n FROM ({ORDER_SQL}) WHERE {sql_hash('k', 42)} >= {int(round(0.2 * MODULUS))})")
+def plan_select_features(spark, sf):
+    """Elimination with imputing and scaling before it, on the training rows of a target that hangs on one feature; ``n`` counts them."""
+    rows = order_features(spark, sf).withColumn("triple", 3 * F.col("qty"))
+    ranking, _ = select_features(rows, FEATURES, "triple", "k", "RF", params={"n_trees": 4, "max_depth": 4}, min_features=3)
+    n = training_rows(rows, FEATURES, "triple", "k").filter("NOT is_test").count()
+    return ranking_facts(ranking, ["qty"]).withColumn("n", F.lit(n))
+
+
+@query("plan_tune_and_fit", f"SELECT h.*, 2 AS ok_trials, true AS allowed FROM ({held_out_sql('tuned BR')}) h")
+def plan_tune_and_fit(spark, sf):
+    """Two trials over the ranges of bagged trees, with fewer trees than a study takes; the best one is fitted again and scored."""
+    ranges = {**SEARCH_RANGES["BR"], "n_trees": (4, 8)}
+    inside = {name: (lambda c, low=low, high=high: c.cast("double").between(low, high)) for name, (low, high, *_) in ranges.items()}
+    rows = order_features(spark, sf).withColumnRenamed("label", "price")
+    model, trials = tune_and_fit(rows, FEATURES, "price", "k", "BR", ranges, 2)
+    ended = trial_facts(trials, inside).agg(F.count_if(F.col("status") == "ok").cast("int").alias("ok_trials"), F.bool_and("allowed").alias("allowed")).first()
+    test = training_rows(rows, FEATURES, "price", "k").filter("is_test")
+    facts = held_out_facts(model.transform(test).withColumn("model", F.lit("tuned BR")))
+    return facts.withColumns({"ok_trials": F.lit(ended.ok_trials), "allowed": F.lit(ended.allowed)})
+
+
 @query(
     "m13_batch_scoring",
     f"""WITH d AS ({ORDER_SQL}) SELECT k, round(b0 + b1 * qty, 4) + 0.0 AS prediction FROM d,

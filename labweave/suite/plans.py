@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labweave.fixed_values import (
-    EXERGY_ORDINALS, EXERGY_WINDOWS, FLOW_ORDINALS, FLOW_WINDOWS, MATERIALS, METHODS, REACTION_BLOCKS, REACTION_COUNT, REACTION_STRIDE,
+    EXERGY_ORDINALS, EXERGY_WINDOWS, FEATURE_CODES, FLOW_ORDINALS, FLOW_WINDOWS, MATERIALS, METHODS, REACTION_BLOCKS, REACTION_COUNT, REACTION_STRIDE,
     SPECIES, TARGETS, UNIFIED_SCHEMA, WEIGHT_ORDINALS, YIELD_ORDINALS, YIELD_WINDOWS,
 )
 from labweave.plans import assembly, series
@@ -86,6 +86,23 @@ def plan_assembly(spark, sf):
     return assembly.assemble(coded_sheet(spark, sf), lab_sheet(spark, sf), measurement_documents(spark, sf))
 
 
+def model_table_sql() -> str:
+    def header(name: str) -> str:
+        name = name.replace("wt percent", "wt%").replace("vol percent", "vol%").replace("h2/co2", "H2/CO2")
+        role = next((k for k in ("formation energy", "density") if name.endswith(k)), None)
+        return f"{name.removesuffix(role)}type {role}" if role else name
+
+    codes = ", ".join(f'CAST("{header(name)}" AS DOUBLE) AS "{code}"' for name, code in FEATURE_CODES.items())
+    targets = ", ".join(f'"{t}" AS {short}' for t, short in zip(TARGETS, ("co2_conv", "ch4_sel", "ch4_yield")))
+    return f'SELECT {codes}, "Preparation method" AS prep_method, {targets} FROM ({assembly_sql()})'
+
+
+@query("plan_model_table", model_table_sql())
+def plan_model_table(spark, sf):
+    """The assembled table under the short names that models use, with the three targets."""
+    return assembly.model_table(plan_assembly(spark, sf))
+
+
 SHEET_ROWS = 240
 
 

@@ -221,12 +221,12 @@ def a14(spark, sf):
 @query(
     "a15_response_surface",
     f"""SELECT bin_x, bin_y, round(avg(z), 6) + 0.0 AS z, count(*) AS n FROM (
-          SELECT {bin_sql('l_quantity', 'lo', 'hi', 20)} AS bin_x, {bin_sql('l_discount', 'lo2', 'hi2', 20)} AS bin_y, sqrt(l_extendedprice) AS z
+          SELECT {bin_sql('l_quantity', 'lo', 'hi', 100)} AS bin_x, {bin_sql('l_discount', 'lo2', 'hi2', 100)} AS bin_y, sqrt(l_extendedprice) AS z
           FROM lineitem, (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi, min(l_discount) AS lo2, max(l_discount) AS hi2 FROM lineitem)) GROUP BY 1, 2""",
 )
 def a15(spark, sf):
     rows_ = table(spark, sf, "lineitem").select("l_quantity", "l_discount", F.sqrt("l_extendedprice").alias("root"))
-    return profile.response_surface(rows_, "l_quantity", "l_discount", "root", 20).withColumn("z", r("z"))
+    return profile.response_surface(rows_, "l_quantity", "l_discount", "root").withColumn("z", r("z"))
 
 
 @query(
