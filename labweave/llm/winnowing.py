@@ -121,19 +121,22 @@ def _bucketed(docs: DataFrame, key: str, text: str, bucket_bytes: int) -> tuple[
     cuts = np.array(tops[:-1], np.int64)
     last = tops[-1] if tops else None
 
-    @F.pandas_udf("int")
-    def bucket_of(values: pd.Series) -> pd.Series:
-        known = values.notna()
-        return pd.Series(np.where(known, np.searchsorted(cuts, values.fillna(0).astype("int64")), 0).astype("int32"), index=values.index)
+    @F.pandas_udf("bigint")
+    def place_of(values: pd.Series) -> pd.Series:
+        """Twice the number of the key's range, and one more for the largest key of a range that another follows."""
+        known, keys = values.notna().to_numpy(), values.fillna(0).astype("int64").to_numpy()
+        at = np.searchsorted(cuts, keys)
+        largest = (at < len(cuts)) & (np.append(cuts, 0)[at] == keys)
+        return pd.Series(np.where(known, 2 * at + largest, 0), index=values.index)
 
-    placed = ids.withColumn("bucket", bucket_of("id"))
+    placed = ids.withColumn("place", place_of("id")).withColumn("bucket", F.shiftright("place", 1).cast("int"))
 
     def copy(bucket: Column) -> Column:
         return F.struct(bucket.cast("int").alias("bucket"), F.lit(True).alias("copied"))
 
     own = F.struct(F.col("bucket"), F.lit(False).alias("copied"))
     first = F.col("id").eqNullSafe(F.lit(last).cast("bigint"))
-    above = F.col("id").isin(tops[:-1]) if len(tops) <= 1 else F.array_contains(F.lit(tops[:-1]).cast("array<bigint>"), F.col("id"))
+    above = F.col("place") % 2 == 1
     places = F.filter(F.array(own, F.when(above, copy(F.col("bucket") + 1)), F.when(first, copy(F.lit(0)))), lambda x: x.isNotNull())
     return placed.select("id", "text", F.explode(places).alias("at")).select("id", "text", "at.*"), buckets
 
