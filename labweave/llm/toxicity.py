@@ -1,20 +1,24 @@
 """Toxicity by the nearest labelled examples.
 
-Terms are words and their beginnings, hashed. The vocabulary holds the terms that go with the label in a bounded sample of labelled
-documents (a chi-squared test); document frequencies are counted over all documents. A text is compared with every example by exact
-TF-IDF cosine: the inverted index keeps, for each term and block of examples, the largest weight, whose sums bound the cosine of the
-block; only blocks whose bound reaches the k-th best are read. The nearest examples vote with weights that fall with distance, and a
-logistic curve fitted on the examples themselves, each left out of its own vote, turns votes into a probability.
-
-Bounds: ``per_label`` examples of each class and ``max_terms`` terms, so index and vocabulary have a fixed largest size.
-
-Defined cases: null and empty texts, and texts without any term of the vocabulary, have no neighbours and get the share of the label
+Terms are words and their beginnings, hashed. The vocabulary holds all terms of a bounded sample of labelled documents; none is left
+out. A term weighs by its document frequency over all documents, and more the closer it goes with the label in the sample (a
+chi-squared statistic). A text is compared with every example by exact cosine of these weights: the rare terms' part is summed for all
+examples, for common terms the index keeps the largest weight in each block of examples, whose sums bound what they add to the block;
+only blocks whose bound reaches the k-th best are read. The nearest examples vote with weights that fall with distance, and a
+logistic curve turns votes into a probability. It is fitted on the examples themselves, each once left out of its own vote, as a new
+text would meet the others, and once with it, as an exact copy would.
+
+Bounds: ``per_label`` examples of each class; index and vocabulary are as large as these texts make them.
+
+Defined cases: terms that no example has count for nothing, in the norm neither; null and empty texts, and texts without any term of
+the vocabulary, have no neighbours and get the share of the label
 among such examples; ties go to the earlier example; equal texts get equal scores; without labelled rows of both classes every score is
 the share of the label, or 0; extra columns are not read when scoring and kept when filtering.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,11 +30,15 @@ from labweave.llm.arrays import NOT_ALNUM, prefix_hashes, text_blocks, word_boun
 from labweave.llm.labelled import sample
 from labweave.llm.shared import stored
 
-PER_LABEL, MAX_TERMS = 2000, 2000
-#: A term must occur in so many examples and go with the label at this chi-squared value.
-LEAST_EXAMPLES, LEAST_CHI = 5, 30.0
+PER_LABEL = 2000
+#: The share of its weight that a term keeps without any tie to the label, and the chi-squared value that gives back half of the rest.
+LEAST_SHARE, HALF_CHI = 0.1, 30.0
 PREFIXES = (4, 5, 6, 7, 8)
 NEIGHBOURS, BLOCK = 15, 64
+#: A term is common if more than one of so many examples has it.
+COMMON = 10
+#: What rounding may do to a cosine at most, and how many texts are compared together.
+SLACK, TOGETHER = 1e-9, 256
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,13 +57,14 @@ class Vocabulary:
 
     def __init__(self, hashes: np.ndarray):
         self.hashes = hashes
-        self.table = np.zeros(1 << 16, bool)
-        self.table[(hashes & 0xFFFF)] = True
+        self.bits = (1 << max(16, (8 * len(hashes)).bit_length())) - 1
+        self.table = np.zeros(self.bits + 1, bool)
+        self.table[hashes & self.bits] = True
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, term and number of occurrences of the vocabulary's terms, by row and term."""
         rows, hashes = terms(data, offsets)
-        maybe = self.table[hashes & 0xFFFF]
+        maybe = self.table[hashes & self.bits]
         rows, hashes = rows[maybe], hashes[maybe]
         if not len(self.hashes):
             return rows[:0], rows[:0], rows[:0]
@@ -67,50 +76,79 @@ class Vocabulary:
 
 @dataclass
 class BlockMaxIndex:
-    """Examples' unit vectors as postings by term, with the largest weight of each term in each block of examples."""
+    """Examples' unit vectors. Terms that few examples have are postings, which are read whole; common terms are rows of a dense
+    matrix, with the largest weight of each in each block of examples, so that blocks out of reach are left unread."""
 
-    heads: np.ndarray  # first posting of (term, block), one column more than blocks
+    heads: np.ndarray  # first posting of each term, one more than terms; common terms have none
     examples: np.ndarray
     weights: np.ndarray
-    largest: np.ndarray
+    common: np.ndarray  # row of the term in ``dense``, or -1
+    dense: np.ndarray  # block, common term, example
+    largest: np.ndarray  # common term, block
     size: int
 
     @classmethod
     def build(cls, rows: np.ndarray, cols: np.ndarray, weights: np.ndarray, n_rows: int, n_terms: int, block: int = BLOCK) -> BlockMaxIndex:
-        order = np.lexsort((rows, cols))
-        rows, cols, weights = rows[order], cols[order], weights[order]
+        times = np.bincount(cols, minlength=n_terms)
+        many = times * COMMON > n_rows
+        common = np.where(many, np.cumsum(many) - 1, -1)
         blocks = max(1, -(-n_rows // block))
-        cell = cols * blocks + rows // block
-        heads = np.searchsorted(cell, np.arange(n_terms)[:, None] * blocks + np.arange(blocks + 1)[None, :])
-        largest = np.zeros(n_terms * blocks)
-        np.maximum.at(largest, cell, weights)
-        return cls(heads, rows, weights, largest.reshape(n_terms, blocks), n_rows)
-
-    def products(self, cols: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Cosines with the examples of some blocks; 0 for all others."""
-        first, last = self.heads[cols[:, None], blocks].ravel(), self.heads[cols[:, None], blocks + 1].ravel()
-        lengths = last - first
+        own = many[cols]
+        dense = np.zeros((int(many.sum()), blocks * block))
+        dense[common[cols[own]], rows[own]] = weights[own]
+        dense = np.ascontiguousarray(dense.reshape(-1, blocks, block).transpose(1, 0, 2))
+        rows, cols, weights = rows[~own], cols[~own], weights[~own]
+        order = np.lexsort((rows, cols))
+        heads = np.append(0, np.cumsum(np.where(many, 0, times)))
+        return cls(heads, rows[order].astype(np.int32), weights[order], common, dense, dense.max(axis=2).T, n_rows)
+
+    def products(self, cols: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The rare terms' part of the cosine with every example."""
+        first, lengths = self.heads[cols], self.heads[cols + 1] - self.heads[cols]
         place = np.arange(int(lengths.sum())) + np.repeat(first - np.cumsum(lengths) + lengths, lengths)
-        return np.bincount(self.examples[place], self.weights[place] * np.repeat(np.repeat(weights, len(blocks)), lengths), self.size)
+        found = np.bincount(self.examples[place], self.weights[place] * np.repeat(weights, lengths), self.dense.shape[0] * self.dense.shape[2])
+        return found.astype(float, copy=False)  # of no postings it is whole numbers
 
     def nearest(self, cols: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` examples of largest positive cosine, exactly; ties go to the earlier one."""
-        bounds = weights @ self.largest[cols]
-        order = np.argsort(-bounds, kind="stable")
-        opened = max(1, -(-2 * k // BLOCK))
-        scores = self.products(cols, weights, order[:opened])
-        if without >= 0:
-            scores[without] = 0
-        limit = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
-        rest = order[opened:]
-        rest = rest[bounds[rest] + 1e-12 >= max(limit, 1e-12)]
-        if len(rest):
-            scores = scores + self.products(cols, weights, rest)
-            if without >= 0:
-                scores[without] = 0
-        found = np.flatnonzero(scores > 0)
-        best = found[np.lexsort((found, -scores[found]))[:k]]
-        return best, scores[best]
+        return self.nearest_of_all(np.array([0, len(cols)]), cols, weights, k, np.array([without]))[0]
+
+    def nearest_of_all(self, heads: np.ndarray, cols: np.ndarray, weights: np.ndarray, k: int, without: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` for many texts. Matrix products find who may be among the ``k``, the cosines are then summed term by term."""
+        n, (blocks, terms, block) = len(heads) - 1, self.dense.shape
+        rare = np.stack([self.products(cols[a:b], weights[a:b]) for a, b in zip(heads[:-1], heads[1:], strict=True)])
+        left_out = np.flatnonzero(without >= 0), without[without >= 0]
+        scores = rare.reshape(n, blocks, block).copy()
+        flat = scores.reshape(n, -1)
+
+        def limits() -> np.ndarray:
+            flat[left_out] = 0
+            return np.partition(flat, -k, axis=1)[:, -k] if flat.shape[1] > k else np.zeros(n)
+
+        common = self.common[cols]
+        if terms:
+            own = common >= 0
+            shares = np.zeros((n, terms))
+            shares[np.repeat(np.arange(n), np.diff(heads))[own], common[own]] = weights[own]
+            limits()
+            bounds = scores.max(axis=2) + shares @ self.largest
+            first = np.zeros((n, blocks), bool)
+            np.put_along_axis(first, np.argsort(-bounds, axis=1, kind="stable")[:, : max(1, -(-2 * k // block))], True, axis=1)
+            for rest in (False, True):  # the best blocks first, then those that still reach the k-th best
+                some = ~first & (bounds + SLACK >= limits()[:, None]) if rest else first
+                for b in np.flatnonzero(some.any(axis=0)):
+                    at = np.flatnonzero(some[:, b])
+                    scores[at, b] += shares[at] @ self.dense[b]
+        out = []
+        for i, least in enumerate(np.maximum(limits() - SLACK, np.finfo(float).tiny)):
+            found = np.flatnonzero(flat[i] >= least)
+            own = slice(heads[i], heads[i + 1])
+            in_dense = common[own] >= 0
+            grid = self.dense[found // block, common[own][in_dense][:, None], found % block]
+            cosines = rare[i, found] + (weights[own][in_dense][:, None] * grid).sum(axis=0)
+            best = np.lexsort((found, -cosines))[:k]
+            out.append((found[best], cosines[best]))
+        return out
 
 
 @dataclass
@@ -128,6 +166,17 @@ class ToxicityModel:
         norms = np.sqrt(np.bincount(rows, weights * weights, n))
         return weights / np.where(norms > 0, norms, 1)[rows]
 
+    def neighbours(self, heads: np.ndarray, cols: np.ndarray, weights: np.ndarray, without_self: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The nearest examples of every row that has terms, with their cosines."""
+        for first in range(0, len(heads) - 1, TOGETHER):
+            part = heads[first : first + TOGETHER + 1]
+            rows = first + np.flatnonzero(np.diff(part))
+            if len(rows):
+                own, none = slice(part[0], part[-1]), np.full(len(rows), -1)
+                ends = np.append(heads[rows], part[-1]) - part[0]
+                found = self.index.nearest_of_all(ends, cols[own], weights[own], NEIGHBOURS, rows if without_self else none)
+                yield from ((int(r), *x) for r, x in zip(rows, found, strict=True))
+
     def vote(self, best: np.ndarray, cosines: np.ndarray) -> tuple[float, float]:
         """Share of the label among the neighbours, weighted by closeness, and the largest cosine."""
         weights = 1 / (0.05 + np.maximum(1 - cosines, 0))
@@ -143,9 +192,7 @@ class ToxicityModel:
         weights = self.vectors(rows, times, cols, n)
         heads = np.searchsorted(rows, np.arange(n + 1))
         votes, scored, near, cosines = [], [], [np.zeros(0, np.int64)] * n, [np.zeros(0)] * n
-        for r in np.flatnonzero(np.diff(heads)):
-            own = slice(heads[r], heads[r + 1])
-            best, found = self.index.nearest(cols[own], weights[own], NEIGHBOURS)
+        for r, best, found in self.neighbours(heads, cols, weights):
             if len(best):
                 votes.append(self.vote(best, found))
                 scored.append(r)
@@ -174,76 +221,78 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return beta
 
 
-def _example_terms(rows: DataFrame) -> DataFrame:
-    """``key``, ``y``, ``term``: each term of each example once."""
+def _example_terms(rows: DataFrame) -> pa.Table:
+    """``key``, ``term`` and ``n``: how often each term occurs in each example; bounded by the examples."""
 
     def run(batches):
         for batch in batches:
-            keys, ys = batch.column(0), batch.column(1)
-            for row, data, offsets in text_blocks(batch.column(2)):
+            for row, data, offsets in text_blocks(batch.column(1)):
                 at, hashes = terms(data, offsets)
-                cells = np.unique(np.stack([at, hashes]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
-                take = pa.array(cells[0] + row)
-                yield pa.RecordBatch.from_arrays([keys.take(take), ys.take(take), pa.array(cells[1])], ["key", "y", "term"])
+                order = np.lexsort((hashes, at))
+                at, hashes = at[order], hashes[order]
+                fresh = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (hashes[1:] != hashes[:-1]))[: len(at)])
+                times = np.diff(np.append(fresh, len(at))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[fresh] + row)), pa.array(hashes[fresh]), pa.array(times)], ["key", "term", "n"])
 
-    return rows.select("key", "y", "text").mapInArrow(run, "key bigint, y int, term bigint")
+    return rows.select("key", "text").mapInArrow(run, "key bigint, term bigint, n int").toArrow()
 
 
-def _document_frequencies(docs: DataFrame, hashes: np.ndarray, text: str) -> dict[int, int]:
-    """In how many of all documents each term occurs; a task sends one row for each term it met."""
-    vocabulary = Vocabulary(hashes)
+def _document_frequencies(docs: DataFrame, vocabulary: Vocabulary, text: str) -> tuple[np.ndarray, int]:
+    """In how many of all documents each term occurs, and how many there are; a task sends one row for each term it met."""
+    hashes, shared = vocabulary.hashes, docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        found, n = np.zeros(len(hashes), np.int64), 0
+        vocabulary = shared.value
+        found, n = np.zeros(len(vocabulary.hashes), np.int64), 0
         for batch in batches:
             for _, data, offsets in text_blocks(batch.column(0)):
-                found += np.bincount(vocabulary.counts(data, offsets)[1], minlength=len(hashes))
+                cols = vocabulary.counts(data, offsets)[1]
+                found += np.bincount(cols, minlength=len(found))
                 n += len(offsets) - 1
         met = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(hashes[met], 0)), pa.array(np.append(found[met], n)), pa.array(np.append(np.zeros(len(met), bool), True))], ["term", "n", "all"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(vocabulary.hashes[met], 0)), pa.array(np.append(found[met], n)), pa.array(np.append(np.zeros(len(met), bool), True))], ["term", "n", "all"])
+
+    counted = docs.select(text).mapInArrow(run, "term bigint, n bigint, all boolean").groupBy("term", "all").agg(F.sum("n").alias("n")).toArrow()
+    term, every, n = (counted.column(name).to_numpy() for name in ("term", "all", "n"))
+    frequency = np.zeros(len(hashes), np.int64)
+    frequency[np.searchsorted(hashes, term[~every])] = n[~every]
+    return frequency, int(n[every].sum())
 
-    counted = docs.select(text).mapInArrow(run, "term bigint, n bigint, all boolean").groupBy("term", "all").agg(F.sum("n").alias("n"))
-    return {(-1 if r["all"] else i): r["n"] for r in counted.collect() for i in [int(np.searchsorted(hashes, r["term"]))]}
 
+def label_shares(cols: np.ndarray, y: np.ndarray, labelled: np.ndarray, n_terms: int) -> np.ndarray:
+    """What share of its weight each term keeps, by its chi-squared statistic with the label; ``y`` is that of each posting's example."""
+    n, positive = len(labelled), labelled.sum()
+    a, both = np.bincount(cols, y, n_terms), np.bincount(cols, minlength=n_terms)
+    b = both - a
+    c, d = positive - a, n - positive - b
+    chi = n * (a * d - b * c) ** 2 / np.maximum(1, both * (c + d) * float(positive) * float(n - positive))
+    return LEAST_SHARE + (1 - LEAST_SHARE) * chi / (chi + HALF_CHI)
 
-def fit(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", per_label: int = PER_LABEL, max_terms: int = MAX_TERMS,
-) -> ToxicityModel:
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", per_label: int = PER_LABEL) -> ToxicityModel:
     """Learn from a bounded sample of the labelled rows that may be learnt from; frequencies are those of all ``docs``."""
     chosen, stands_for = sample(docs, labels, label, per_label, key, text)
-    chosen = stored(chosen)  # read for terms, vectors and labels; at most 2 * per_label texts
-    found = stored(_example_terms(chosen))
+    chosen = stored(chosen)  # read for terms and labels; at most 2 * per_label texts
     examples = sorted((r["key"], r["y"]) for r in chosen.select("key", "y").collect())
     ids, y = np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], np.float64)
     n, positive = len(y), float(y.sum())
-    a, b = F.col("a"), F.col("n") - F.col("a")
-    c, d = F.lit(positive) - a, F.lit(n - positive) - b
-    chi = F.lit(float(n)) * F.pow(a * d - b * c, 2) / F.greatest(F.lit(1.0), (a + b) * (c + d) * (a + c) * (b + d))
-    counted = found.groupBy("term").agg(F.sum(F.col("y").cast("double")).alias("a"), F.count("*").cast("double").alias("n"))
-    kept = counted.where(F.col("n") >= LEAST_EXAMPLES).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI)
-    hashes = np.sort(np.array([r["term"] for r in kept.orderBy(F.desc("chi"), "term").limit(max_terms).collect()], np.int64))
-    frequency = _document_frequencies(docs, hashes, text)
-    total = frequency.get(-1, 0)
-    idf = np.log((1 + total) / (1 + np.array([frequency.get(i, 0) for i in range(len(hashes))]))) + 1e-3
+    found = _example_terms(chosen)
+    rows, times = np.searchsorted(ids, found.column("key").to_numpy()), found.column("n").to_numpy()
+    hashes, cols = np.unique(found.column("term").to_numpy(), return_inverse=True)
+    del found
+    order = np.lexsort((cols, rows))
+    rows, cols, times = rows[order], cols[order], times[order]
     vocabulary = Vocabulary(hashes)
-
-    def run(batches):  # bounded: examples times terms
-        for batch in batches:
-            for row, data, offsets in text_blocks(batch.column(1)):
-                rows, cols, times = vocabulary.counts(data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows + row)), pa.array(cols), pa.array(times)], ["key", "col", "n"])
-
-    cells = sorted((r["key"], r["col"], r["n"]) for r in chosen.select("key", "text").mapInArrow(run, "key bigint, col bigint, n bigint").collect())
-    rows = np.searchsorted(ids, np.array([x[0] for x in cells], np.int64))
-    cols, times = np.array([x[1] for x in cells], np.int64), np.array([x[2] for x in cells], np.int64)
+    frequency, total = _document_frequencies(docs, vocabulary, text)
+    idf = (np.log((1 + total) / (1 + frequency)) + 1e-3) * label_shares(cols, y[rows], y, len(hashes))
     model = ToxicityModel(vocabulary, idf, None, y, ids, 0.0, np.zeros(4))
     weights = model.vectors(rows, times, cols, n)
     model.index = BlockMaxIndex.build(rows, cols, weights, n, len(hashes))
     weight = np.array([stands_for.get(int(v), 1.0) for v in y])
-    votes, voters, heads = [], [], np.searchsorted(rows, np.arange(n + 1))
-    for r in np.flatnonzero(np.diff(heads)):
-        own = slice(heads[r], heads[r + 1])
-        best, cosines = model.index.nearest(cols[own], weights[own], NEIGHBOURS, without=r)
+    votes, voters, copies, heads = [], [], [], np.searchsorted(rows, np.arange(n + 1))
+    with_terms = np.flatnonzero(np.diff(heads))
+    for r, best, cosines in model.neighbours(heads, cols, weights, without_self=True):
+        copies.append(model.vote(np.append(r, best[: NEIGHBOURS - 1]), np.append(1.0, cosines[: NEIGHBOURS - 1])))
         if len(best):
             votes.append(model.vote(best, cosines))
             voters.append(r)
@@ -251,9 +300,10 @@ def fit(
     model.share = float((weight[alone] @ y[alone] + 0.5) / (weight[alone].sum() + 1)) if len(alone) else float((weight @ y) / max(weight.sum(), 1))
     if not positive:
         model.share = 0.0
-    if votes and 0 < y[voters].sum() < len(voters):
-        model.curve = logistic(_features(np.array(votes)), y[voters], weight[voters])
-    elif votes:
+    seen = np.append(voters, with_terms).astype(np.int64)
+    if 0 < y[seen].sum() < len(seen):
+        model.curve = logistic(_features(np.array(votes + copies)), y[seen], weight[seen])
+    elif len(seen):
         p = min(max(float((weight @ y) / weight.sum()), 1e-6), 1 - 1e-6)
         model.curve = np.array([np.log(p / (1 - p)), 0, 0, 0])
     return model

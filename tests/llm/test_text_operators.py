@@ -120,6 +120,51 @@ def test_nearest_examples_are_exact():
         assert set(best) == set(order) or np.isclose(found[-1], scores[order[-1]])
 
 
+def test_nearest_examples_with_rare_and_common_terms():
+    r = np.random.default_rng(4)
+    share = np.where(np.arange(200) < 20, 0.5, 0.02)
+    dense = (r.random((700, 200)) < share) * r.random((700, 200))
+    rows, cols = np.nonzero(dense)
+    index = toxicity.BlockMaxIndex.build(rows, cols, dense[rows, cols], 700, 200)
+    assert 0 < index.dense.shape[1] < 200 and len(index.examples)
+    for i in range(100):
+        own = np.flatnonzero(r.random(200) < share)
+        weights = r.random(len(own)) * np.where(own < 20, 0.05, 1)  # common terms weigh little, so blocks are left out
+        scores = dense[:, own] @ weights
+        without = i if i % 2 else -1
+        if without >= 0:
+            scores[without] = 0
+        best, found = index.nearest(own, weights, 15, without)
+        order = [x for x in np.argsort(-scores, kind="stable") if scores[x] > 0][:15]
+        assert np.allclose(found, scores[order]) and np.allclose(scores[best], found) and len(set(best)) == len(order)
+
+
+def test_toxic_texts_of_rare_wording_are_found(spark):
+    """No term of a toxic example is in five examples of its kind, so none goes with the label."""
+    r = random.Random(3)
+    common, word = ["".join(r.choices("abcdefghijklm", k=6)) for _ in range(40)], lambda: "".join(r.choices("nopqrstuvwxyz", k=6))
+    rows = [(i, " ".join(r.choices(common, k=20) + [word() for _ in range(4)]), "en", "s", 1) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id bigint, toxic int")
+    docs = spark.createDataFrame([*rows, *((1000 + row[0], *row[1:]) for row in rows)], DOCS)
+    model = toxicity.fit(docs, labels)
+    got = {x["doc_id"]: x for x in toxicity.toxicity_scores(docs, model).collect()}
+    kept = {x["doc_id"] for x in toxicity.without_toxic(docs, model).select("doc_id").collect()}
+    assert len(model.ids) > 30
+    for i in model.ids.tolist():
+        row = got[1000 + i]
+        assert row["evidence"][0] == i and row["cosines"][0] == pytest.approx(1)
+        assert (row["score"] >= 0.5) == (i % 3 == 0) == (1000 + i not in kept)
+
+
+def test_every_term_of_the_examples_counts(spark):
+    docs = spark.createDataFrame([(i, f"only{i} shared words", "en", "s", 1) for i in range(40)], DOCS)
+    model = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")))
+    texts = pa.array([f"only{i} shared words" for i in model.ids.tolist()])
+    (_, data, offsets), = text_blocks(texts)
+    assert set(toxicity.terms(data, offsets)[1].tolist()) == set(model.vocabulary.hashes.tolist())
+    assert (model.idf > 0).all()
+
+
 def test_labels_of_held_out_rows_are_never_read(spark):
     rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
     kept = {r["key"] for r in labelled.training_labels(rows, "toxic").collect()}
