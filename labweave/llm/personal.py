@@ -1,8 +1,8 @@
 """Personal data in text, plain and disguised.
 
 Plain identifiers are found by pattern on the text as it stands. For disguised ones, transducers rewrite the text and keep for every part
-of the result the source characters it stands for: look-alike characters become ASCII, characters of no width go, spelled digits become
-digits, and ``[at]`` / ``dot`` spellings become ``@`` and ``.``. Identifiers found in the rewritten text are mapped back to source spans;
+of the result the source characters it stands for: look-alike characters become ASCII, characters of no width go, bracketed separators
+become ``@`` and ``.``, spelled digits become digits, and then bare ``at`` and ``dot`` go the same way, so that disguises may be mixed. Identifiers found in the rewritten text are mapped back to source spans;
 they are added where they cover rewritten characters and touch no plain identifier of their kind.
 
 Defined cases: a null text counts as empty and has no spans; matches that fail their check are dropped without another try; texts are
@@ -53,12 +53,17 @@ _ONE = rf"(?<!\w)(?:{_NAMES})(?!\w)"
 LEAST_SPELLED = 4
 _SPELLED = re.compile(rf"(?:(?<!\w)plus[ -]{{1,2}})?{_ONE}(?:[ ,-]{{1,2}}{_ONE}){{{LEAST_SPELLED - 1},}}")
 _SPELLED_OCTET = rf"{_ONE}(?:[ ,-]{{1,2}}{_ONE}){{0,2}}"
-_SPELLED_IP = re.compile(rf"{_SPELLED_OCTET}(?: (?:dot|punto|punkt|point) {_SPELLED_OCTET}){{3}}(?!\w)")
+#: Stands in lowered text for a point that was bracketed, as a point that was written plainly disguises nothing.
+_BRACKETED_POINT = "\ue000"
+_OCTET = rf"(?:{_SPELLED_OCTET}|(?<![0-9])[0-9]{{1,3}}+)"
+_POINT = rf"(?: (?:dot|punto|punkt|point) |[.{_BRACKETED_POINT}])"
+_SPELLED_IP = re.compile(rf"{_OCTET}(?:{_POINT}{_OCTET}){{3}}(?!\w)")
 _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
 _BRACKETED = re.compile(rf"{_OPEN}(?:(at|@)|dot|punto|punkt|point|\.){_CLOSE}")
 # Endings that make plain words with "at" and "dot" an address.
 _ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|io|dev|app|ai|co|me|tv|eu|us|uk|de|fr|es|it|nl|ch|at|be|pt|pl|se|no|dk|fi|ru|cn|jp|in|br|mx|ar|ca|au"
-_BARE = re.compile(rf"[a-z0-9._%+-]+ at [a-z0-9-]+(?:(?: dot |\.)[a-z0-9-]+)*? dot (?:{_ENDINGS})(?: dot (?:{_ENDINGS}))?(?![a-z0-9-])")
+_DOT = f"(?: dot |[.{_BRACKETED_POINT}])"
+_BARE = re.compile(rf"(?<=[a-z0-9._%+-])(?: at |@)[a-z0-9-]++(?:{_DOT}[a-z0-9-]++)*?{_DOT}(?:{_ENDINGS})(?:{_DOT}(?:{_ENDINGS}))?(?![a-z0-9-])")
 _CONFUSED = re.compile(r"(?<=[0-9])[OolI|](?=[0-9])")
 _WIDTHLESS = re.compile(f"[{NO_WIDTH}]+")
 
@@ -183,25 +188,33 @@ def _digits(spelled: str) -> str:
 
 def _spelled_edits(low: str) -> list[tuple[int, int, str]]:
     found = []
-    if " dot " in low or " pun" in low or " point " in low:
+    if " dot " in low or " pun" in low or " point " in low or _BRACKETED_POINT in low:
         for m in _SPELLED_IP.finditer(low):
-            found.append((*m.span(), ".".join(_digits(x) for x in re.split(r" (?:dot|punto|punkt|point) ", m[0]))))
+            new = ".".join(x if x.isdecimal() else _digits(x) for x in re.split(_POINT, m[0]))
+            if new != m[0].replace(_BRACKETED_POINT, "."):
+                found.append((*m.span(), new))
     names = _DIGIT_OF.keys() & set(low.replace(",", " ").replace("-", " ").split())
     if names and (names != {"un"} or "un un" in low or "un,un" in low or "un, un" in low or "un-un" in low):  # "un" alone is an article
         found += [(*m.span(), _digits(m[0])) for m in _SPELLED.finditer(low)]
     return sorted(found)
 
 
+def _bracket_edits(low: str) -> list[tuple[int, int, str]]:
+    if not any(x in low for x in "[({<"):
+        return []
+    return [(*m.span(), "@" if m[1] else _BRACKETED_POINT) for m in _BRACKETED.finditer(low)]
+
+
 def _separator_edits(low: str) -> list[tuple[int, int, str]]:
     found = []
-    if any(x in low for x in "[({<"):
-        found += [(*m.span(), "@" if m[1] else ".") for m in _BRACKETED.finditer(low)]
-    if " dot " in low and " at " in low:
+    if (" dot " in low or _BRACKETED_POINT in low) and (" at " in low or "@" in low):
         for m in _BARE.finditer(low):
-            at = m.start() + m[0].index(" at ")
-            found.append((at, at + 4, "@"))
+            if " dot " not in m[0] and _BRACKETED_POINT not in m[0]:
+                continue  # "at" before a plain domain is prose
+            if m[0][0] != "@":
+                found.append((m.start(), m.start() + 4, "@"))
             found += [(m.start() + x.start(), m.start() + x.end(), ".") for x in re.finditer(" dot ", m[0])]
-    return sorted(found)
+    return found
 
 
 def disguised(text: str) -> dict[str, list[tuple[int, int]]]:
@@ -219,9 +232,10 @@ def disguised(text: str) -> dict[str, list[tuple[int, int]]]:
             plain = text.translate(look_alikes())  # one character for one, so positions stay
         apply([(*m.span(), "") for m in _WIDTHLESS.finditer(plain)])
     low = lowered(plain)
-    spelled = _spelled_edits(low)
-    apply(spelled)
-    apply(_separator_edits(lowered(plain) if spelled else low))
+    for step in (_bracket_edits, _spelled_edits, _separator_edits):
+        if edits := step(low):
+            apply([(begin, end, new.replace(_BRACKETED_POINT, ".")) for begin, end, new in edits])
+            low = rewrite(low, edits)[0]
     apply([(*m.span(), "1" if m[0] in "lI|" else "0") for m in _CONFUSED.finditer(plain)])
     if plain == text:
         return {}

@@ -350,6 +350,28 @@ def test_disguised_identifiers(text, kind, found):
     assert personal.redacted(text) == text.replace(found, f"<{kind.upper()}>")
 
 
+@pytest.mark.parametrize(("text", "kind", "found"), [
+    ("mail john [at] example dot com now", "email", "john [at] example dot com"),
+    ("mail john at example [dot] com now", "email", "john at example [dot] com"),
+    ("mail john@example dot com now", "email", "john@example dot com"),
+    ("mail john@mail dot example dot co (dot) uk now", "email", "john@mail dot example dot co (dot) uk"),
+    ("host 192 dot 168 dot 1 dot 10 is up", "ip", "192 dot 168 dot 1 dot 10"),
+    ("host 192 [dot] 168 dot one.10 is up", "ip", "192 [dot] 168 dot one.10"),
+])
+def test_mixed_disguises(text, kind, found):
+    base, every = personal.find(text)
+    assert not any(base.values())
+    assert [text[a:b] for a, b in every[kind]] == [found]
+    assert personal.redacted(text) == text.replace(found, f"<{kind.upper()}>")
+
+
+def test_plain_domains_and_versions_are_not_disguises():
+    for text in ("look at example.com, not at example.org", "see it at example.com (dot) now", "section 1.2 dot 3 only", "@ home. dot com"):
+        assert not any(personal.find(text)[1].values())
+    for text in ("a at b@" * 30_000 + " dot com", "1." * 100_000 + " dot @ at ", "a@b dot " * 30_000, "1 dot " * 50_000):
+        personal.find(text)
+
+
 def test_prose_has_no_disguised_identifiers():
     for text in ("look at the dot on the map", "un deux et trois", "meet at noon. one two", "un un un", "(at) last [dot]"):
         assert not any(personal.find(text)[1].values())
