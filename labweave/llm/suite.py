@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labweave.llm import minhash, packing, personal, pieces, quality, sharding, tool_calls, toxicity, vector_search, winnowing
+from labweave.llm import (
+    minhash, packing, periodic_runs, personal, pieces, pivot_clusters, quality, sharding, site_trees, tool_calls, toxicity, vector_search, winnowing,
+)
 from labweave.llm.labelled import held_out
 
 
@@ -73,9 +75,29 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"), tokenizer_model())
 
 
+def op11_site_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = site_trees.extract_main_text(table(spark, sf_dir, "pages"))
+    return texts.withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
+def op12_pivot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_clusters.with_inertia(*pivot_clusters.pivot_clusters(table(spark, sf_dir, "embeddings"), k=16, rounds=3, width=64))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(periodic_runs.looped_tails(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    best = F.col("best")
+    return found.withColumn("best", periodic_runs.longest_run(F.col("runs"))).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).cast("bigint").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", lines).cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_best_fit_packing, op3_minhash_near_dedup, op4_quality, op5_personal_data, op6_tool_calls, op7_sharding, op8_exact_top_k,
-    op9_winnowing, op10_sentencepiece,
+    op9_winnowing, op10_sentencepiece, op11_site_trees, op12_pivot_clusters, op13_periodic_runs,
 )}
 
 ORACLES: dict[str, str] = {
@@ -113,5 +135,26 @@ SELECT b.conv_id, b.turn, b.call_id, b.name, CAST(b.base + b.above AS INTEGER) A
     ELSE '{"source":"' || b.before || '","words":' || b.words || '}' END
     || ',"id":"' || b.call_id || '","name":"' || b.name || '","result":' || CASE WHEN b.content IS NULL THEN 'null' ELSE CAST(to_json(b.content) AS VARCHAR) END || '}' AS json
 FROM based b
+""",
+    "op12_pivot_clusters": """
+WITH kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v AS m FROM kept QUALIFY c < 16
+)""" + "".join(f""", a{i} AS (
+  SELECT vec_id, v, c, list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM kept CROSS JOIN c{i}
+  QUALIFY row_number() OVER (PARTITION BY vec_id, v ORDER BY d, c) = 1
+), c{i + 1} AS (
+  SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m
+  FROM (SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM a{i} CROSS JOIN (SELECT unnest(range(1, 65)) AS i) GROUP BY c, i) GROUP BY c
+  UNION ALL SELECT c, m FROM c{i} WHERE c NOT IN (SELECT c FROM a{i})
+)""" for i in range(3)) + """, placed AS (
+  SELECT vec_id, v, c, list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM kept CROSS JOIN c3
+  QUALIFY row_number() OVER (PARTITION BY vec_id, v ORDER BY d, c) = 1
+)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM placed JOIN c3 USING (c)
 """,
 }
