@@ -1,21 +1,21 @@
-"""Regressor presets on Spark ML, in one parameter vocabulary.
+"""Regressor presets in one parameter vocabulary.
 
 ``n_trees, max_depth, min_split, min_leaf, row_fraction, column_fraction,
-learning_rate, num_leaves, l2``. Spark's trees know no split minimum, leaf count or
-leaf penalty: ``min_split`` raises the leaf minimum to half of it, ``num_leaves`` limits
-the depth, ``l2`` has no counterpart and is ignored.
+learning_rate, num_leaves, l2``. Forests and plain boosting are Spark's; their trees know no split
+minimum, so ``min_split`` raises the leaf minimum to half of it. Bagging and the three boosting slots are the library's own
+(``histogram_trees``): they hold ``num_leaves``, ``l2`` and ``min_split`` exactly and draw rows and columns once for each tree.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from math import ceil, log2
 
 from pyspark.ml.base import Estimator
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labweave.ml.histogram_trees import HistogramTrees
 from labweave.operators.columns import quoted
 
 SEED = 42
@@ -27,8 +27,6 @@ def _depth(params: Mapping) -> int:
     depth = params.get("max_depth") or MAX_DEPTH
     if depth > MAX_DEPTH:
         raise ValueError(f"trees have a depth of at most {MAX_DEPTH}, not {depth}")
-    if params.get("num_leaves"):
-        depth = min(depth, ceil(log2(params["num_leaves"])))
     return int(depth)
 
 
@@ -49,9 +47,14 @@ def random_forest(label: str = "label", features: str = "features", **params) ->
     )
 
 
-def bagged_trees(label: str = "label", features: str = "features", **params) -> RandomForestRegressor:
-    """Bootstrap-aggregated trees: a forest that looks at every column in every split."""
-    return random_forest(label, features, **{**params, "column_fraction": params.get("column_fraction")})
+def _own(label: str, features: str, params: Mapping) -> HistogramTrees:
+    whole = {name: int(params[name]) for name in ("n_trees", "max_depth", "num_leaves", "min_leaf", "min_split") if params.get(name) is not None}
+    return HistogramTrees(labelCol=label, featuresCol=features, **{**params, **whole})
+
+
+def bagged_trees(label: str = "label", features: str = "features", **params) -> HistogramTrees:
+    """Bootstrap-aggregated trees: Poisson weights of the rows (of mean ``row_fraction``) and a subset of the columns for each tree."""
+    return _own(label, features, {"bagging": True, "n_trees": 100, "max_depth": 10, "seed": SEED, **params})
 
 
 def gradient_boosting(label: str = "label", features: str = "features", **params) -> GBTRegressor:
@@ -63,14 +66,14 @@ def gradient_boosting(label: str = "label", features: str = "features", **params
     )
 
 
-def boosting_preset(**defaults) -> Callable[..., GBTRegressor]:
-    return lambda label="label", features="features", **params: gradient_boosting(label, features, **{**defaults, **params})
+def boosting_preset(**defaults) -> Callable[..., HistogramTrees]:
+    return lambda label="label", features="features", **params: _own(label, features, {"seed": SEED, **defaults, **params})
 
 
 # defaults of the three boosting slots
-depthwise_boosting = boosting_preset(max_depth=6, learning_rate=0.3)
-leafwise_boosting = boosting_preset(num_leaves=31, learning_rate=0.1, max_depth=10, min_leaf=20)
-symmetric_boosting = boosting_preset(max_depth=6, learning_rate=0.03)
+depthwise_boosting = boosting_preset(growth="level", max_depth=6, learning_rate=0.3, l2=1.0)
+leafwise_boosting = boosting_preset(growth="leaf", num_leaves=31, learning_rate=0.1, max_depth=None, min_leaf=20)
+symmetric_boosting = boosting_preset(growth="symmetric", max_depth=6, learning_rate=0.03, l2=3.0)
 
 REGRESSORS: dict[str, Callable[..., Estimator]] = {
     "RF": random_forest,
