@@ -2,13 +2,14 @@
 
 Terms are words and their beginnings, hashed. The vocabulary holds all terms of a bounded sample of labelled documents; none is left
 out. A term weighs by its document frequency over all documents, and more the closer it goes with the label in the sample (a
-chi-squared statistic). A text is compared with every example by exact cosine of these weights: the rare terms' part is summed for all
-examples, for common terms the index keeps the largest weight in each block of examples, whose sums bound what they add to the block;
-only blocks whose bound reaches the k-th best are read. The nearest examples vote with weights that fall with distance, and a
-logistic curve turns votes into a probability. It is fitted on the examples themselves, each once left out of its own vote, as a new
+chi-squared statistic). A text is compared with every example by exact cosine of these weights through an inverted index. The short
+lists of rare terms are read whole; common terms, whose lists make up most of the index, are kept by blocks of examples with the largest
+weight of each term in each block. What the rare terms gave and these maxima bound the cosines in a block; the best blocks are read
+first, and then only those whose bound reaches the k-th best cosine. The nearest examples vote with weights that fall with distance, and
+a logistic curve turns votes into a probability. It is fitted on the examples themselves, each once left out of its own vote, as a new
 text would meet the others, and once with it, as an exact copy would.
 
-Bounds: ``per_label`` examples of each class; index and vocabulary are as large as these texts make them.
+Bounds: ``per_label`` examples and ``per_label_bytes`` bytes of text of each class; index and vocabulary are as large as these make them.
 
 Defined cases: terms that no example has count for nothing, in the norm neither; null and empty texts, and texts without any term of
 the vocabulary, have no neighbours and get the share of the label
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +37,14 @@ PER_LABEL = 2000
 LEAST_SHARE, HALF_CHI = 0.1, 30.0
 PREFIXES = (4, 5, 6, 7, 8)
 NEIGHBOURS, BLOCK = 15, 64
+#: Bytes of example texts of each class, at most; the first example is always taken.
+PER_LABEL_BYTES = 1 << 24
 #: A term is common if more than one of so many examples has it.
-COMMON = 10
-#: What rounding may do to a cosine at most, and how many texts are compared together.
-SLACK, TOGETHER = 1e-9, 256
+COMMON = 16
+#: What rounding may do to a cosine at most; how many texts are looked at together.
+SLACK, TOGETHER = 1e-5, 128
+#: Into how many parts the document frequencies are cut on their way to the driver.
+PARTS = 256
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,92 +68,152 @@ class Vocabulary:
         self.table[hashes & self.bits] = True
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, term and number of occurrences of the vocabulary's terms, by row and term."""
-        rows, hashes = terms(data, offsets)
+        """Row, term and number of occurrences of the vocabulary's terms, by row and term; each distinct word is looked up once."""
+        none = np.zeros(0, np.int64)
+        starts, ends = word_bounds(data, offsets, NOT_ALNUM)
+        if not len(starts) or not len(self.hashes):
+            return none, none, none
+        row = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
+        distinct, first, word = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        words, hashes = [np.arange(len(distinct))], [distinct]
+        for long, hashed in prefix_hashes(data, starts[first], ends[first], PREFIXES):
+            words.append(long)
+            hashes.append(hashed)
+        words, hashes = np.concatenate(words), np.concatenate(hashes).view(np.int64)
         maybe = self.table[hashes & self.bits]
-        rows, hashes = rows[maybe], hashes[maybe]
-        if not len(self.hashes):
-            return rows[:0], rows[:0], rows[:0]
+        words, hashes = words[maybe], hashes[maybe]
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         hit = self.hashes[at] == hashes
-        cells, times = np.unique(rows[hit] * len(self.hashes) + at[hit], return_counts=True)
-        return cells // len(self.hashes), cells % len(self.hashes), times
+        words, at = words[hit], at[hit]
+        order = np.argsort(words, kind="stable")
+        terms_of, heads = at[order], np.searchsorted(words[order], np.arange(len(distinct) + 1))
+        pairs, times = np.unique(row * len(distinct) + word, return_counts=True)
+        word = pairs % len(distinct)
+        size = heads[word + 1] - heads[word]
+        cells = np.repeat(pairs // len(distinct), size) * len(self.hashes) + terms_of[spread(heads[word], size)]
+        order = np.argsort(cells, kind="stable")
+        cells, times = cells[order], np.repeat(times, size)[order]
+        fresh = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])[: len(cells)])
+        return cells[fresh] // len(self.hashes), cells[fresh] % len(self.hashes), np.add.reduceat(times, fresh) if len(fresh) else none
+
+
+def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers ``first[i]`` to ``first[i] + size[i] - 1`` of every i, one after the other."""
+    return np.arange(int(size.sum())) + np.repeat(first - np.cumsum(size) + size, size)
 
 
 @dataclass
 class BlockMaxIndex:
-    """Examples' unit vectors. Terms that few examples have are postings, which are read whole; common terms are rows of a dense
-    matrix, with the largest weight of each in each block of examples, so that blocks out of reach are left unread."""
+    """Examples' unit vectors as postings by term. Examples have places, so that those alike lie in one block. For common terms, a matrix
+    by block and the largest weight of each term in each block are laid out where the index is used."""
 
-    heads: np.ndarray  # first posting of each term, one more than terms; common terms have none
-    examples: np.ndarray
-    weights: np.ndarray
+    heads: np.ndarray  # first posting of each term, one more than terms
+    examples: np.ndarray  # place of the example of each posting
+    weights: np.ndarray  # rounded to 32 bits; sums are taken in 64
     common: np.ndarray  # row of the term in ``dense``, or -1
-    dense: np.ndarray  # block, common term, example
-    largest: np.ndarray  # common term, block
-    size: int
+    order: np.ndarray  # example at each place
+    block: int = BLOCK
 
     @classmethod
     def build(cls, rows: np.ndarray, cols: np.ndarray, weights: np.ndarray, n_rows: int, n_terms: int, block: int = BLOCK) -> BlockMaxIndex:
         times = np.bincount(cols, minlength=n_terms)
         many = times * COMMON > n_rows
-        common = np.where(many, np.cumsum(many) - 1, -1)
-        blocks = max(1, -(-n_rows // block))
-        own = many[cols]
-        dense = np.zeros((int(many.sum()), blocks * block))
-        dense[common[cols[own]], rows[own]] = weights[own]
-        dense = np.ascontiguousarray(dense.reshape(-1, blocks, block).transpose(1, 0, 2))
-        rows, cols, weights = rows[~own], cols[~own], weights[~own]
-        order = np.lexsort((rows, cols))
-        heads = np.append(0, np.cumsum(np.where(many, 0, times)))
-        return cls(heads, rows[order].astype(np.int32), weights[order], common, dense, dense.max(axis=2).T, n_rows)
-
-    def products(self, cols: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """The rare terms' part of the cosine with every example."""
-        first, lengths = self.heads[cols], self.heads[cols + 1] - self.heads[cols]
-        place = np.arange(int(lengths.sum())) + np.repeat(first - np.cumsum(lengths) + lengths, lengths)
-        found = np.bincount(self.examples[place], self.weights[place] * np.repeat(weights, lengths), self.dense.shape[0] * self.dense.shape[2])
-        return found.astype(float, copy=False)  # of no postings it is whole numbers
+        common = np.where(many, np.cumsum(many) - 1, -1).astype(np.int32)
+        # examples that share their heaviest common term lie together, so that blocks differ
+        own = np.flatnonzero(many[cols])
+        own = own[np.argsort(weights[own], kind="stable")]
+        heaviest = np.full(n_rows, -1)
+        heaviest[rows[own]] = cols[own]
+        order = np.lexsort((np.arange(n_rows), heaviest)).astype(np.int32)
+        place = np.empty(n_rows, np.int32)
+        place[order] = np.arange(n_rows, dtype=np.int32)
+        place = place[rows]
+        by_term = np.lexsort((place, cols))
+        return cls(np.append(0, np.cumsum(times)), place[by_term], weights[by_term].astype(np.float32), common, order, block)
+
+    @property
+    def blocks(self) -> int:
+        return max(1, -(-len(self.order) // self.block))
+
+    @cached_property
+    def dense(self) -> np.ndarray:
+        """Weights of common terms by block, term and place in the block."""
+        terms = np.flatnonzero(self.common >= 0)
+        size = np.diff(self.heads)[terms]
+        posting = spread(self.heads[terms], size)
+        out = np.zeros((self.blocks, len(terms), self.block), np.float32)
+        at = self.examples[posting]
+        out[at // self.block, np.repeat(np.arange(len(terms)), size), at % self.block] = self.weights[posting]
+        return out
+
+    @cached_property
+    def largest(self) -> np.ndarray:
+        """The largest weight of each common term in each block."""
+        return np.ascontiguousarray(self.dense.max(axis=2).T)
+
+    def __getstate__(self) -> dict:
+        return {name: value for name, value in self.__dict__.items() if name not in ("dense", "largest")}
+
+    def lengths(self, cols: np.ndarray) -> np.ndarray:
+        """How many postings are read of each term."""
+        return np.where(self.common[cols] < 0, self.heads[cols + 1] - self.heads[cols], 0)
 
     def nearest(self, cols: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` examples of largest positive cosine, exactly; ties go to the earlier one."""
         return self.nearest_of_all(np.array([0, len(cols)]), cols, weights, k, np.array([without]))[0]
 
-    def nearest_of_all(self, heads: np.ndarray, cols: np.ndarray, weights: np.ndarray, k: int, without: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """``nearest`` for many texts. Matrix products find who may be among the ``k``, the cosines are then summed term by term."""
+    def nearest_of_all(
+        self, heads: np.ndarray, cols: np.ndarray, weights: np.ndarray, k: int, without: np.ndarray, read: list[int] | None = None
+    ) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` for many texts; ``read`` receives how many blocks of common terms were read. Products in 32 bits find who may be
+        among the ``k``, their cosines are then summed term by term in 64."""
         n, (blocks, terms, block) = len(heads) - 1, self.dense.shape
-        rare = np.stack([self.products(cols[a:b], weights[a:b]) for a, b in zip(heads[:-1], heads[1:], strict=True)])
-        left_out = np.flatnonzero(without >= 0), without[without >= 0]
-        scores = rare.reshape(n, blocks, block).copy()
+        text, common = np.repeat(np.arange(n), np.diff(heads)), self.common[cols]
+        rare = np.empty((n, blocks, block))
+        for i in range(n):  # one text's postings at a time stay in the processor's cache
+            own = slice(heads[i], heads[i + 1])
+            size = self.lengths(cols[own])
+            posting = spread(self.heads[cols[own]], size)
+            rare[i] = np.bincount(self.examples[posting], np.repeat(weights[own], size) * self.weights[posting], blocks * block).reshape(blocks, block)
+        left_out = np.flatnonzero(without >= 0), self.place[without[without >= 0]]
+        scores = rare.astype(np.float32)
         flat = scores.reshape(n, -1)
 
         def limits() -> np.ndarray:
             flat[left_out] = 0
-            return np.partition(flat, -k, axis=1)[:, -k] if flat.shape[1] > k else np.zeros(n)
+            return np.partition(flat, -k, axis=1)[:, -k] if flat.shape[1] > k else np.zeros(n, np.float32)
 
-        common = self.common[cols]
         if terms:
-            own = common >= 0
-            shares = np.zeros((n, terms))
-            shares[np.repeat(np.arange(n), np.diff(heads))[own], common[own]] = weights[own]
-            limits()
+            shares = np.zeros((n, terms), np.float32)
+            shares[text[common >= 0], common[common >= 0]] = weights[common >= 0]
+            flat[left_out] = 0
             bounds = scores.max(axis=2) + shares @ self.largest
             first = np.zeros((n, blocks), bool)
             np.put_along_axis(first, np.argsort(-bounds, axis=1, kind="stable")[:, : max(1, -(-2 * k // block))], True, axis=1)
             for rest in (False, True):  # the best blocks first, then those that still reach the k-th best
-                some = ~first & (bounds + SLACK >= limits()[:, None]) if rest else first
+                some = ~first & (bounds > 0) & (bounds + SLACK >= limits()[:, None]) if rest else first
+                if read is not None:
+                    read.append(int(some.sum()))
                 for b in np.flatnonzero(some.any(axis=0)):
-                    at = np.flatnonzero(some[:, b])
-                    scores[at, b] += shares[at] @ self.dense[b]
-        out = []
-        for i, least in enumerate(np.maximum(limits() - SLACK, np.finfo(float).tiny)):
+                    rows = np.flatnonzero(some[:, b])
+                    scores[rows, b] += shares[rows] @ self.dense[b] if len(rows) < n else shares @ self.dense[b]
+        out, wide = [], rare.reshape(n, -1)
+        for i, least in enumerate(np.maximum(limits() - SLACK, np.finfo(np.float32).tiny)):
             found = np.flatnonzero(flat[i] >= least)
             own = slice(heads[i], heads[i + 1])
             in_dense = common[own] >= 0
             grid = self.dense[found // block, common[own][in_dense][:, None], found % block]
-            cosines = rare[i, found] + (weights[own][in_dense][:, None] * grid).sum(axis=0)
-            best = np.lexsort((found, -cosines))[:k]
-            out.append((found[best], cosines[best]))
+            cosines = wide[i, found] + (weights[own][in_dense][:, None] * grid).sum(axis=0)
+            names = self.order[found]
+            best = np.lexsort((names, -cosines))[:k]
+            out.append((names[best], cosines[best]))
+        return out
+
+    @cached_property
+    def place(self) -> np.ndarray:
+        """Where each example lies."""
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = np.arange(len(self.order))
         return out
 
 
@@ -222,7 +288,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 
 
 def _example_terms(rows: DataFrame) -> pa.Table:
-    """``key``, ``term`` and ``n``: how often each term occurs in each example; bounded by the examples."""
+    """``key``, and as bytes the distinct ``terms`` of each example and how often each occurs in it, ``times``; bounded by the examples."""
 
     def run(batches):
         for batch in batches:
@@ -232,31 +298,49 @@ def _example_terms(rows: DataFrame) -> pa.Table:
                 at, hashes = at[order], hashes[order]
                 fresh = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (hashes[1:] != hashes[:-1]))[: len(at)])
                 times = np.diff(np.append(fresh, len(at))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[fresh] + row)), pa.array(hashes[fresh]), pa.array(times)], ["key", "term", "n"])
+                cuts = np.searchsorted(at[fresh], np.arange(len(offsets)))
+                parts = [[x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] for x in (hashes[fresh], times)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(cuts) - 1), *(pa.array(x, pa.binary()) for x in parts)], ["key", "terms", "times"])
 
-    return rows.select("key", "text").mapInArrow(run, "key bigint, term bigint, n int").toArrow()
+    return rows.select("key", "text").mapInArrow(run, "key bigint, terms binary, times binary").toArrow()
 
 
 def _document_frequencies(docs: DataFrame, vocabulary: Vocabulary, text: str) -> tuple[np.ndarray, int]:
-    """In how many of all documents each term occurs, and how many there are; a task sends one row for each term it met."""
-    hashes, shared = vocabulary.hashes, docs.sparkSession.sparkContext.broadcast(vocabulary)
+    """In how many of all documents each term occurs, and how many there are. A task sends its counts in ``PARTS`` pieces."""
+    size, shared = len(vocabulary.hashes), docs.sparkSession.sparkContext.broadcast(vocabulary)
+    cuts = np.linspace(0, size, PARTS + 1).astype(int)
 
     def run(batches):
         vocabulary = shared.value
-        found, n = np.zeros(len(vocabulary.hashes), np.int64), 0
+        found, n = np.zeros(size, np.int64), 0
         for batch in batches:
             for _, data, offsets in text_blocks(batch.column(0)):
-                cols = vocabulary.counts(data, offsets)[1]
-                found += np.bincount(cols, minlength=len(found))
+                found += np.bincount(vocabulary.counts(data, offsets)[1], minlength=size)
                 n += len(offsets) - 1
-        met = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(vocabulary.hashes[met], 0)), pa.array(np.append(found[met], n)), pa.array(np.append(np.zeros(len(met), bool), True))], ["term", "n", "all"])
+        pieces = [found[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] + [np.array([n]).tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS + 1, dtype=np.int32)), pa.array(pieces, pa.binary())], ["part", "counts"])
+
+    def summed(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in group["counts"].to_pylist())
+        return pa.table([group["part"].slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
+
+    kind = "part int, counts binary"
+    got = docs.select(text).mapInArrow(run, kind).groupBy("part").applyInArrow(summed, kind).toArrow()
+    shared.destroy()
+    pieces = dict(zip(got["part"].to_pylist(), got["counts"].to_pylist(), strict=True))
+    if not pieces:
+        return np.zeros(size, np.int64), 0
+    return np.frombuffer(b"".join(pieces[i] for i in range(PARTS)), np.int64), int(np.frombuffer(pieces[PARTS], np.int64)[0])
+
 
-    counted = docs.select(text).mapInArrow(run, "term bigint, n bigint, all boolean").groupBy("term", "all").agg(F.sum("n").alias("n")).toArrow()
-    term, every, n = (counted.column(name).to_numpy() for name in ("term", "all", "n"))
-    frequency = np.zeros(len(hashes), np.int64)
-    frequency[np.searchsorted(hashes, term[~every])] = n[~every]
-    return frequency, int(n[every].sum())
+def within_bytes(examples: list[tuple], most: int) -> list[tuple]:
+    """Of ``(order, key, label, bytes)`` the first of each label until ``most`` bytes are reached; one at least."""
+    kept, used = [], {}
+    for order, key, y, size in sorted(examples, key=lambda e: (e[0], e[1])):
+        used[y] = used.get(y, 0) + size
+        if used[y] <= most or used[y] == size:
+            kept.append((key, y))
+    return sorted(kept)
 
 
 def label_shares(cols: np.ndarray, y: np.ndarray, labelled: np.ndarray, n_terms: int) -> np.ndarray:
@@ -269,26 +353,34 @@ def label_shares(cols: np.ndarray, y: np.ndarray, labelled: np.ndarray, n_terms:
     return LEAST_SHARE + (1 - LEAST_SHARE) * chi / (chi + HALF_CHI)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", per_label: int = PER_LABEL) -> ToxicityModel:
+def fit(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", per_label: int = PER_LABEL,
+    per_label_bytes: int = PER_LABEL_BYTES,
+) -> ToxicityModel:
     """Learn from a bounded sample of the labelled rows that may be learnt from; frequencies are those of all ``docs``."""
     chosen, stands_for = sample(docs, labels, label, per_label, key, text)
     chosen = stored(chosen)  # read for terms and labels; at most 2 * per_label texts
-    examples = sorted((r["key"], r["y"]) for r in chosen.select("key", "y").collect())
+    listed = [tuple(r) for r in chosen.select(F.xxhash64("key", F.lit(29)), "key", "y", F.octet_length("text")).collect()]
+    examples = within_bytes(listed, per_label_bytes)
+    before, after = (np.bincount([e[i] for e in rows], minlength=2) for rows, i in ((listed, 2), (examples, 1))) if listed else (np.ones(2), np.ones(2))
+    stands_for = {v: stands_for.get(v, 1.0) * before[v] / max(1, after[v]) for v in (0, 1)}
     ids, y = np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], np.float64)
     n, positive = len(y), float(y.sum())
-    found = _example_terms(chosen)
-    rows, times = np.searchsorted(ids, found.column("key").to_numpy()), found.column("n").to_numpy()
-    hashes, cols = np.unique(found.column("term").to_numpy(), return_inverse=True)
+    found = _example_terms(chosen if len(examples) == len(listed) else chosen.where(F.col("key").isin(ids.tolist())))
+    sizes = np.array([len(t) // 4 for t in found["times"].to_pylist()], np.int64)
+    rows = np.repeat(np.searchsorted(ids, found["key"].to_numpy()), sizes).astype(np.int32)
+    times = np.frombuffer(b"".join(found["times"].to_pylist()), np.int32)
+    hashes, cols = np.unique(np.frombuffer(b"".join(found["terms"].to_pylist()), np.int64), return_inverse=True)
     del found
     order = np.lexsort((cols, rows))
-    rows, cols, times = rows[order], cols[order], times[order]
+    rows, cols, times = rows[order].astype(np.int64), cols[order], times[order]
     vocabulary = Vocabulary(hashes)
     frequency, total = _document_frequencies(docs, vocabulary, text)
     idf = (np.log((1 + total) / (1 + frequency)) + 1e-3) * label_shares(cols, y[rows], y, len(hashes))
     model = ToxicityModel(vocabulary, idf, None, y, ids, 0.0, np.zeros(4))
     weights = model.vectors(rows, times, cols, n)
     model.index = BlockMaxIndex.build(rows, cols, weights, n, len(hashes))
-    weight = np.array([stands_for.get(int(v), 1.0) for v in y])
+    weight = np.array([stands_for[int(v)] for v in y])
     votes, voters, copies, heads = [], [], [], np.searchsorted(rows, np.arange(n + 1))
     with_terms = np.flatnonzero(np.diff(heads))
     for r, best, cosines in model.neighbours(heads, cols, weights, without_self=True):
