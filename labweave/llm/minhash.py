@@ -15,7 +15,8 @@ a chance above 1 - 1e-7.
 
 Defined cases: words are runs of bytes other than white space, A-Z lowered; a null, empty or blank text has no shingles and no links; a
 text with fewer words than a shingle is one shingle; rows without an id take no part (``component_id`` null, kept); rows that share an
-id count as one document with the links of all; extra columns are not read when grouping and kept when filtering.
+id but not their shingles are documents of their own, each with its own links, and only those linked to a smaller id go; rows that share
+both are one document and stay or go together; extra columns are not read when grouping and kept when filtering.
 """
 
 from __future__ import annotations
@@ -123,6 +124,43 @@ def _with_group(rows: DataFrame, groups: DataFrame, node: str, name: str) -> Dat
 def near_duplicates(docs: DataFrame, width: int, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``n_shingles``, ``component_id`` (smallest id that links reach) and ``kept`` (the id is that one), a row for each row."""
     drawn = stored(sketches(docs, width, key, text))
+    mixed = _mixed_ids(drawn)
+    if mixed is None:
+        return _grouped(docs, drawn, width, percent, key, text)
+    numbered = _numbered(docs, drawn, mixed, key)
+    found = _by_number(numbered, width, percent, key, text)
+    return found.select(key, "n_shingles", "component_id", "kept")
+
+
+def _mixed_ids(drawn: DataFrame) -> DataFrame | None:
+    """``id`` of the rows that share an id but not their shingles; None if there are none."""
+    shown = F.struct("n_shingles", "low", "high")
+    mixed = stored(drawn.where("id is not null").groupBy("id").agg(F.min(shown).alias("_a"), F.max(shown).alias("_b")).where("_a <> _b").select("id"))
+    return None if mixed.isEmpty() else mixed
+
+
+def _numbered(docs: DataFrame, drawn: DataFrame, mixed: DataFrame, key: str) -> DataFrame:
+    """The rows with ``_node``, their id, or a number of their own beyond all ids where rows of one id differ; written, so that it stays."""
+    base = (drawn.agg(F.max("id")).first()[0] or 0) + 1
+    asked = mixed.select(F.col("id").alias("_mixed"))
+    own = F.monotonically_increasing_id() + F.lit(base)
+    return stored(docs.join(asked, docs[key].cast("long") == F.col("_mixed"), "left").withColumn("_node", F.when(F.col("_mixed").isNotNull(), own).otherwise(docs[key].cast("long"))).drop("_mixed"))
+
+
+def _by_number(numbered: DataFrame, width: int, percent: int, key: str, text: str) -> DataFrame:
+    """``_node``, ``key`` and the result by numbers, told in ids again: a group is named by the smallest id of its rows."""
+    found = _grouped(numbered, stored(sketches(numbered, width, "_node", text)), width, percent, "_node", text)
+    ids = numbered.select("_node", F.col(key).cast("long").alias(key))
+    placed = found.select("_node", "n_shingles", F.col("component_id").alias("_root"))
+    unnumbered = placed.where("_node is null").select("_node", F.lit(None).cast("long").alias(key), "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    told = placed.where("_node is not null").dropDuplicates(["_node"]).join(ids, "_node")
+    least = told.groupBy("_root").agg(F.min(key).alias("component_id"))
+    told = told.join(least, "_root").select("_node", key, "n_shingles", "component_id", (F.col(key) == F.col("component_id")).alias("kept"))
+    return told.unionByName(unnumbered)
+
+
+def _grouped(docs: DataFrame, drawn: DataFrame, width: int, percent: int, key: str, text: str) -> DataFrame:
+    """``near_duplicates`` of rows that have equal shingles where they share an id."""
     classes = drawn.where("n_shingles > 0 and id is not null").groupBy("low", "high").agg(F.min("id").alias("rep"))
     one = drawn.join(classes.select("low", "high", F.col("rep").alias("id")), ["low", "high", "id"], "left_semi")
     slim = one.select("id", "n_shingles", "bits_a", "bits_b")
@@ -240,5 +278,11 @@ def _joined(groups: DataFrame, pairs: DataFrame, texts: DataFrame, slim: DataFra
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows, with all their columns, of one document of each group: the one with the smallest id."""
-    gone = near_duplicates(docs, width, percent, key, text).where("not kept").select(F.col(key).alias("_gone"))
+    drawn = stored(sketches(docs, width, key, text))
+    mixed = _mixed_ids(drawn)
+    if mixed is not None:
+        numbered = _numbered(docs, drawn, mixed, key)
+        gone = _by_number(numbered, width, percent, key, text).where("not kept").select(F.col("_node").alias("_gone"))
+        return numbered.join(gone.distinct(), F.col("_node") == F.col("_gone"), "left_anti").drop("_node")
+    gone = _grouped(docs, drawn, width, percent, key, text).where("not kept").select(F.col(key).alias("_gone"))
     return docs.join(gone.distinct(), docs[key].cast("long") == F.col("_gone"), "left_anti")
