@@ -15,10 +15,11 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labweave.functions.hashing import MODULUS
 from labweave.functions.lowdiscrepancy import MAX_DIMENSIONS, sobol_value
 from labweave.ml.prep import assembler
 from labweave.operators.metrics import regression_metrics
-from labweave.operators.rows import best_by_rank
+from labweave.operators.rows import best_by_rank, key_hash
 from labweave.session import local_table
 
 Build = Callable[[DataFrame], Estimator]
@@ -226,3 +227,76 @@ def eliminate_features(
     finally:
         cached.unpersist()
     return ranking.drop("position"), local_table(spark, curve, "n_features int, r2 double, rmse double")
+
+
+def halving_rungs(n: int, least_share: float, eta: int = 3) -> list[tuple[int, float]]:
+    """Trials and share of the rows of each rung: from ``n`` trials on ``least_share`` of the rows, ``eta`` times fewer on ``eta`` times more."""
+    rungs, share = [], least_share
+    while True:
+        rungs.append((n, share if share < 1 - 1e-9 else 1.0))
+        if n <= 1 or rungs[-1][1] == 1:
+            return rungs
+        n, share = max(1, n // eta), share * eta
+
+
+def hyperband_brackets(n: int, eta: int = 3, least_share: float | None = None) -> list[list[tuple[int, float]]]:
+    """Brackets that trade trials for rows: the first starts ``n`` trials on the smallest share, the last one a few on all rows."""
+    share = least_share or 1 / n
+    levels = 0
+    while share * eta ** (levels + 1) <= 1 + 1e-9:
+        levels += 1
+    out = []
+    for s in range(levels, -1, -1):
+        start = max(1, -(-n // eta ** (levels - s)))
+        out.append(halving_rungs(start, eta ** -float(s), eta))
+    return out
+
+
+def successive_halving(
+    df: DataFrame, key: str, regressor: Callable[..., Estimator], candidates: Sequence[Mapping], brackets: Sequence[Sequence[tuple[int, float]]],
+    folds: int = 5, fold: str = "fold", label: str = "label", parallelism: int = 4, seed: int = 42, fixed: Mapping | None = None,
+) -> DataFrame:
+    """``(bracket, rung, trial, candidate, share, n_rows, mean_score, promoted, status)``.
+
+    Every bracket takes its candidates in turn from the list. A rung scores its trials by cross validation on a share of the rows, those
+    whose key hash lies below it, so a larger share holds the smaller one; the best go on to the next rung. Failed trials go out.
+    Ties go to the earlier candidate.
+    """
+    spark = df.sparkSession
+    hashed = df.withColumn("_share", key_hash(df, key, seed + 7) / F.lit(float(MODULUS))).persist()
+    rows: list[tuple] = []
+    taken = 0
+
+    def score(part: DataFrame, candidate: int) -> tuple[float | None, str]:
+        try:
+            scores = cross_validate(part, lambda _: regressor(label=label, **{**(fixed or {}), **candidates[candidate]}), folds, fold, label, parallelism=1)
+            return scores.agg(F.avg("r2").alias("m")).first().m, "ok"
+        except Exception as problem:  # a bad candidate must not end the search
+            return None, f"failed: {problem}"
+
+    try:
+        for b, rungs in enumerate(brackets):
+            if taken + rungs[0][0] > len(candidates):
+                raise ValueError(f"{sum(r[0][0] for r in brackets)} candidates are needed, not {len(candidates)}")
+            alive = list(range(taken, taken + rungs[0][0]))
+            taken += rungs[0][0]
+            for i, (_, share) in enumerate(rungs):
+                part = hashed.where(F.col("_share") < share)
+                n_rows = part.count()
+                found = run_parallel(spark, [lambda c=c: score(part, c) for c in alive], parallelism)
+                fine = sorted((c for c, (m, _) in zip(alive, found) if m is not None), key=lambda c: (-found[alive.index(c)][0], c))
+                promoted = set(fine[: rungs[i + 1][0]]) if i + 1 < len(rungs) else set()
+                rows += [(b, i, t, c, float(share), n_rows, m, c in promoted, status) for t, (c, (m, status)) in enumerate(zip(alive, found))]
+                alive = [c for c in alive if c in promoted]
+    finally:
+        hashed.unpersist()
+    kinds = "bracket int, rung int, trial int, candidate int, share double, n_rows bigint, mean_score double, promoted boolean, status string"
+    return local_table(spark, rows, kinds)
+
+
+def best_of_halving(results: DataFrame, candidates: Sequence[Mapping]) -> Mapping:
+    """The best candidate among those scored on the largest share."""
+    row = results.where("mean_score is not null").orderBy(F.col("share").desc(), F.col("mean_score").desc(), "candidate").first()
+    if row is None:
+        raise ValueError("no trial succeeded")
+    return candidates[row.candidate]

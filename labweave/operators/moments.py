@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from labweave.functions.stats import stat, with_stats
 from labweave.operators.columns import quoted
 
+#: Share of a column's squares that its spread must exceed; rounding leaves less of a constant one.
+SPREAD = 1e-12
 PAIR_SCHEMA = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
 
 
@@ -59,4 +61,4 @@ def pair_correlation() -> Column:
     cov = F.col("sxy") - sx * sy / n
     vx, vy = F.col("sxx") - sx * sx / n, F.col("syy") - sy * sy / n
     # what rounding leaves of a constant column is no spread
-    return F.when((n > 1) & (vx > F.col("sxx") * 1e-14) & (vy > F.col("syy") * 1e-14), cov / F.sqrt(vx * vy))
+    return F.when((n > 1) & (vx > F.col("sxx") * SPREAD) & (vy > F.col("syy") * SPREAD), cov / F.sqrt(vx * vy))

@@ -12,47 +12,22 @@ from labweave.functions.binning import bin_interval, with_right_closed_bins
 from labweave.functions.stats import STATS, stat, with_stats
 from labweave.operators.columns import quoted
 from labweave.operators.lookup import bounded_copy, salted_left_join
-from labweave.operators.moments import pair_correlation, pair_moments, present
+from labweave.operators.moments import pair_correlation, pair_moments
 from labweave.operators.quantiles import group_quantiles
 
-MAX_CODEGEN_PAIRS = 28
-
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(name_i, name_j, corr, n)`` for i < j, each pair over its own complete rows.
 
-    NaN counts as missing, and a column without spread has no correlation (null), however many columns there are.
+    NaN counts as missing, and a column without spread has no correlation (null). One scan and one rule, however many columns there are.
     """
-    pairs = list(combinations(range(len(columns)), 2))
-    if len(pairs) > MAX_CODEGEN_PAIRS:
-        names = F.array(*[F.lit(c) for c in columns])
-        return pair_moments(df, columns).filter(F.col("i") < F.col("j")).select(
-            F.element_at(names, F.col("i") + 1).alias("name_i"),
-            F.element_at(names, F.col("j") + 1).alias("name_j"),
-            pair_correlation().alias("corr"),
-            F.col("n").cast("bigint").alias("n"),
-        )
-    x = [present(c) for c in columns]
-    row = df.select(*[v.alias(f"x{i}") for i, v in enumerate(x)])
-    x = [F.col(f"x{i}") for i in range(len(columns))]
-
-    def spread(a, b):
-        return F.stddev_pop(F.when(b.isNotNull(), a))
-
-    row = row.agg(
-        *[F.try_divide(F.covar_pop(x[i], x[j]), spread(x[i], x[j]) * spread(x[j], x[i])).alias(f"r_{i}_{j}") for i, j in pairs],
-        *[F.count(F.when(x[i].isNotNull() & x[j].isNotNull(), 1)).alias(f"n_{i}_{j}") for i, j in pairs],
+    names = F.array(*[F.lit(c) for c in columns])
+    return pair_moments(df, columns).filter(F.col("i") < F.col("j")).select(
+        F.element_at(names, F.col("i") + 1).alias("name_i"),
+        F.element_at(names, F.col("j") + 1).alias("name_j"),
+        pair_correlation().alias("corr"),
+        F.col("n").cast("bigint").alias("n"),
     )
-    cells = [
-        F.struct(
-            F.lit(columns[i]).alias("name_i"),
-            F.lit(columns[j]).alias("name_j"),
-            F.col(f"r_{i}_{j}").alias("corr"),
-            F.col(f"n_{i}_{j}").alias("n"),
-        )
-        for i, j in pairs
-    ]
-    return row.select(F.inline(F.array(*cells)))
 
 
 def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

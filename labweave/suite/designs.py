@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from labweave.fixed_values import QUASI_DESIGN
-from labweave.operators import designs, sensitivity
+from labweave.operators import bootstrap, designs, sensitivity
 from labweave.operators.profile import bounds
 from labweave.plans.sensitivity import study
 from labweave.suite.common import query, r, sql_hash, sql_sobol, table
@@ -168,6 +168,17 @@ def e4(spark, sf):
     return sensitivity.bootstrap_widths(table_, NAMES).withColumn("conf", r("conf"))
 
 
+@query(
+    "e4_exact_draws",
+    "SELECT CAST(i AS INTEGER) AS resample, n AS total, n AS blocks FROM (SELECT count(*) AS n FROM events), range(1, 101) t(i)",
+)
+def e4_draws(spark, sf):
+    """Every one of 100 resamples draws exactly as many blocks as there are."""
+    blocks, n = event_blocks(spark, sf)
+    drawn = bootstrap.bootstrap_draws(blocks.select("block_id"), 100)
+    return drawn.groupBy("resample").agg(F.sum("w").alias("total")).withColumn("blocks", F.lit(n).cast("bigint"))
+
+
 @query("e5_all_outputs", index_sql({"y": ishigami_sql, "p": product_sql}))
 def e5(spark, sf):
     return sensitivity.analyse_outputs(simulated_runs(spark, sf), NAMES, ["y", "p"]).withColumn("value", r("value"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labweave.fixed_values import NORMAL_CENTRE, NORMAL_MIDDLE, NORMAL_TAIL
-from labweave.operators import metrics, profile, quantiles, rows
+from labweave.operators import density, metrics, profile, quantiles, rows, surfaces
 from labweave.suite.common import GAPS_SQL, gappy_lineitem, query, r, table
 
 NUMERIC = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
@@ -37,6 +37,31 @@ def a1_wide(spark, sf):
     return profile.correlation_matrix(gappy_lineitem(spark, sf).withColumns(products), WIDE).withColumn("corr", r("corr"))
 
 
+FLAT = {"flat": "3.1", "gone": "CASE WHEN l_orderkey % 5 = 0 THEN CAST('NaN' AS DOUBLE) ELSE l_tax END", "tail": "CASE WHEN l_orderkey % 7 = 0 THEN 0.7 ELSE l_tax END"}
+FLAT_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_linenumber", "flat", "gone", "l_tax", "tail"]
+
+
+def _flat_sql(columns) -> str:
+    held = {c: f"CASE WHEN NOT isnan({c}) THEN {c} END" for c in columns}
+    return " UNION ALL ".join(
+        f"SELECT {len(columns)} AS width, '{a}' AS name_i, '{b}' AS name_j, CASE WHEN '{a}' <> 'flat' AND '{b}' <> 'flat' THEN round(corr({held[a]}, {held[b]}), 6) + 0.0 END AS corr, "
+        f"count({held[a]} + {held[b]}) AS n FROM g"
+        for i, a in enumerate(columns) for b in columns[i + 1 :]
+    )
+
+
+@query(
+    "a1_flat_and_missing",
+    "WITH g AS (SELECT * REPLACE (CAST(l_linenumber AS DOUBLE) AS l_linenumber), CAST(l_tax * l_tax AS DOUBLE) AS l_square, "
+    + ", ".join(f"CAST({v} AS DOUBLE) AS {c}" for c, v in FLAT.items()) + f" FROM lineitem) {_flat_sql(FLAT_COLUMNS)} UNION ALL {_flat_sql([*FLAT_COLUMNS, 'l_square'])}",
+)
+def a1_flat(spark, sf):
+    """A constant column and one with NaN, among eight columns and among nine: the same pairs have the same correlation."""
+    rows = table(spark, sf, "lineitem").withColumns({**{c: F.expr(v).cast("double") for c, v in FLAT.items()}, "l_square": F.col("l_tax") * F.col("l_tax")})
+    parts = [profile.correlation_matrix(rows, columns).withColumn("width", F.lit(len(columns))) for columns in (FLAT_COLUMNS, [*FLAT_COLUMNS, "l_square"])]
+    return parts[0].unionByName(parts[1]).withColumn("corr", r("corr"))
+
+
 @query(
     "a2_null_counts",
     f"WITH g AS ({GAPS_SQL}) "
@@ -160,6 +185,18 @@ def a11(spark, sf):
     return profile.pair_histograms(gappy_lineitem(spark, sf), PAIRS)
 
 
+@query(
+    "a11_kernel_density",
+    """WITH s AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, stddev_samp(o_totalprice) * pow(count(*), -0.2) AS h, count(*) AS n FROM orders),
+            g AS (SELECT CAST(i AS INTEGER) AS point, lo - 3 * h + i * ((hi - lo + 6 * h) / 49) AS x FROM s, range(50) t(i))
+       SELECT point, round(x, 4) + 0.0 AS x, round(sum(exp(-0.5 * pow((x - o_totalprice) / h, 2))) / any_value(n) / any_value(h) / sqrt(2 * pi()) * 1e9, 1) + 0.0 AS density FROM g, s, orders GROUP BY point, x""",
+)
+def a11_density(spark, sf):
+    """The density of the order price at 50 points; the SQL is the direct sum over all orders."""
+    out = density.kernel_density(table(spark, sf, "orders"), "o_totalprice", points=50, resolution=2000)
+    return out.select("point", r("x", 4).alias("x"), r(F.col("density") * 1e9, 1).alias("density"))
+
+
 @query(
     "a12_bubble_table",
     f"""SELECT l_quantity, l_extendedprice, l_discount, CASE WHEN l_discount IS NULL THEN NULL ELSE count(*) OVER (PARTITION BY l_discount) END AS frequency FROM ({GAPS_SQL})""",
@@ -229,6 +266,23 @@ def a15(spark, sf):
     return profile.response_surface(rows_, "l_quantity", "l_discount", "root").withColumn("z", r("z"))
 
 
+@query(
+    "a15_filled_surface",
+    f"""WITH p AS (SELECT {bin_sql('l_quantity', 'lo', 'hi', 20)} AS bin_x, {bin_sql('l_extendedprice', 'lo2', 'hi2', 20)} AS bin_y, l_discount + l_tax * l_tax AS z,
+            (l_quantity - lo) * 20 / (hi - lo) AS cx, (l_extendedprice - lo2) * 20 / (hi2 - lo2) AS cy
+          FROM lineitem, (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi, min(l_extendedprice) AS lo2, max(l_extendedprice) AS hi2 FROM lineitem)),
+        c AS (SELECT bin_x, bin_y, avg(z) AS z, count(*) AS n, avg(cx) AS cx, avg(cy) AS cy FROM p GROUP BY 1, 2),
+        e AS (SELECT CAST(i AS INTEGER) AS bin_x, CAST(j AS INTEGER) AS bin_y FROM range(1, 21) a(i), range(1, 21) b(j) WHERE (i, j) NOT IN (SELECT (bin_x, bin_y) FROM c)),
+        d AS (SELECT e.bin_x, e.bin_y, z, pow(cx - e.bin_x + 0.5, 2) + pow(cy - e.bin_y + 0.5, 2) AS q FROM e, c
+              QUALIFY row_number() OVER (PARTITION BY e.bin_x, e.bin_y ORDER BY q, c.bin_x, c.bin_y) <= 4)
+        SELECT bin_x, bin_y, round(z, 6) + 0.0 AS z, n FROM c UNION ALL SELECT bin_x, bin_y, round(sum(z / q) / sum(1 / q), 6) + 0.0, 0 FROM d GROUP BY 1, 2""",
+)
+def a15_filled(spark, sf):
+    """Every cell of a surface over two inputs that go together, so that many cells have no points of their own."""
+    rows_ = table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice", (F.col("l_discount") + F.col("l_tax") * F.col("l_tax")).alias("z"))
+    return surfaces.filled_surface(rows_, "l_quantity", "l_extendedprice", "z", cells=20).withColumn("z", r("z"))
+
+
 @query(
     "w1_frequency",
     f"SELECT l_orderkey, l_linenumber, l_tax, CASE WHEN l_tax IS NULL THEN NULL ELSE count(*) OVER (PARTITION BY l_tax) END AS frequency FROM ({GAPS_SQL})",
