@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from labweave.fixed_values import MISSING_TOKENS
+from labweave.fixed_values import MISSING_TOKENS, READER_NULL_TOKENS
 
 # the characters that str.strip() removes, those beyond ASCII included
 SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
@@ -21,8 +21,13 @@ def strip(text: Column) -> Column:
 
 
 def null_if_missing(text: Column, tokens: Iterable[str] = MISSING_TOKENS) -> Column:
-    """Null where the text is one of the missing-value tokens."""
-    return F.when(F.trim(text).isin(*tokens), F.lit(None)).otherwise(text)
+    """Null where the text, without white space around it, is one of the missing-value tokens."""
+    return F.when(strip(text).isin(*tokens), F.lit(None)).otherwise(text)
+
+
+def null_if_reader_missing(text: Column, tokens: Iterable[str] = READER_NULL_TOKENS) -> Column:
+    """Null where a delimited-text reader sees none: the cell is exactly one of its tokens, the empty text among them."""
+    return F.when(text.isin(*tokens), F.lit(None)).otherwise(text)
 
 
 def to_number(text: Column) -> Column:

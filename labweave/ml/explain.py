@@ -7,9 +7,10 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Transformer
 from pyspark.ml.regression import LinearRegressionModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labweave.functions.stats import stat, with_stats
@@ -31,19 +32,33 @@ def linear_grid(df: DataFrame, features: Sequence[str], points: int) -> dict[str
     return {c: np.linspace(row[f"lo{i}"], row[f"hi{i}"], points).tolist() for i, c in enumerate(features)}
 
 
+def few_values(df: DataFrame, columns: Sequence[str], most: int) -> dict[str, list[float]]:
+    """The sorted distinct values of the columns that have at most ``most``, exactly; a task sends at most one value more a column."""
+
+    def run(batches):
+        seen = [np.zeros(0) for _ in columns]
+        for batch in batches:
+            for i in range(len(columns)):
+                if len(seen[i]) <= most:
+                    x = batch.column(i).drop_null().to_numpy(zero_copy_only=False)
+                    seen[i] = np.unique(np.concatenate([seen[i], x]))[: most + 1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(seen), dtype=np.int32), [len(s) for s in seen])), pa.array(np.concatenate(seen))], ["i", "v"])
+
+    found = df.select(*[F.col(quoted(c)).cast("double") for c in columns]).mapInArrow(run, "i int, v double").distinct()
+    ranked = found.withColumn("n", F.row_number().over(Window.partitionBy("i").orderBy("v"))).where(F.col("n") <= most + 1)
+    values: dict[str, list[float]] = {c: [] for c in columns}
+    for r in ranked.collect():
+        values[columns[r["i"]]].append(r["v"])
+    return {c: sorted(v) for c, v in values.items() if 0 < len(v) <= most}
+
+
 def quantile_grid(df: DataFrame, features: Sequence[str], points: int, low: float = 0.05, high: float = 0.95) -> dict[str, list[float]]:
     """Equally spaced values between two quantiles; the distinct values when there are fewer."""
     ends: dict[str, dict[float, float]] = {}
     for r in column_quantiles(df, features, [low, high]).collect():
         ends.setdefault(r["column"], {})[r.p] = r.quantile
-    # a sketch first: listing the distinct values is only cheap when there are few
-    sketch = df.agg(*[F.approx_count_distinct(quoted(c)).alias(f"n{i}") for i, c in enumerate(features)]).first()
-    grid = {}
-    for i, c in enumerate(features):
-        grid[c] = np.linspace(ends[c][low], ends[c][high], points).tolist()
-        if sketch[f"n{i}"] <= 2 * points:
-            rows = df.select(F.col(quoted(c)).cast("double").alias("v")).filter("v is not null").distinct().limit(points).collect()
-            grid[c] = sorted(r.v for r in rows) if len(rows) < points else grid[c]
+    few = few_values(df, features, points - 1)
+    grid = {c: few.get(c) or np.linspace(ends[c][low], ends[c][high], points).tolist() for c in features}
     return grid
 
 

@@ -41,8 +41,10 @@ def first_energy(results: DataFrame, formula: str = "CO") -> DataFrame:
     """First qualifying adsorption energy per material, in document order.
 
     ``results`` has one row per document with the array column ``results``; documents
-    are ordered by ``doc`` when that column exists.
+    are ordered by ``doc``. Without that column there may be one document only, as several have no order.
     """
+    if "doc" not in results.columns and results.select(F.lit(1)).limit(2).count() > 1:
+        raise ValueError("several documents need a column doc that orders them")
     doc = F.col("doc") if "doc" in results.columns else F.lit(0)
     entry = F.col("entry.adsorption_measurement")
     rows = results.select(doc.alias("doc"), F.posexplode("results").alias("pos", "entry")).select(

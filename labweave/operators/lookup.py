@@ -5,26 +5,44 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labweave.functions.cleaning import strip
 from labweave.operators.columns import insert_after, quoted
 from labweave.session import local_table
 
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 1 << 25
 LITERAL_ROWS = 10_000
 SALTS = 16
 
 
-def bounded_copy(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame | None:
-    """The table as a local relation when it has at most ``limit`` rows, else None.
+def bounded_copy(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame | None:
+    """The table as a local relation when it has at most ``limit`` rows and ``most_bytes`` bytes, else None.
 
     One job answers both "is it small?" and "what is in it?"; later uses neither count nor
-    recompute it. Reading stops one row beyond the limit.
+    recompute it. Reading stops one row beyond the limit, and no more than the bytes reach the driver.
     """
-    rows = df.limit(limit + 1).toArrow()
-    return df.sparkSession.createDataFrame(rows, df.schema) if rows.num_rows <= limit else None
+    names = [*df.columns, "_over"]
+
+    def capped(batches):
+        used = 0
+        for batch in batches:
+            used += batch.nbytes
+            over = used > most_bytes
+            part = batch.slice(0, 1) if over else batch
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([over] * len(part), pa.bool_())], names)
+            if over:
+                return
+
+    kinds = T.StructType([*df.schema.fields, T.StructField("_over", T.BooleanType())])
+    rows = df.limit(limit + 1).coalesce(1).mapInArrow(capped, kinds).toArrow()
+    if rows.num_rows > limit or pc.any(rows["_over"]).as_py():
+        return None
+    return df.sparkSession.createDataFrame(rows.drop_columns(["_over"]), df.schema)
 
 
 def salted_left_join(facts: DataFrame, side: DataFrame, fact_key: Column, side_key: str) -> DataFrame:
@@ -91,11 +109,13 @@ def lookup(
     return joined.withColumns(outputs).drop(*helpers)
 
 
-def lookup_roles(df: DataFrame, dim: DataFrame, roles: Mapping[str, Mapping[str, str]], dim_key: str, default=0.0) -> DataFrame:
-    """The same small dimension looked up for several key columns."""
+def lookup_roles(
+    df: DataFrame, dim: DataFrame, roles: Mapping[str, Mapping[str, str]], dim_key: str, default=0.0, bounded: bool | None = None
+) -> DataFrame:
+    """The same dimension looked up for several key columns: broadcast if it is known (``bounded=True``) or read to be small."""
     order = list(df.columns)
     for key, attributes in roles.items():
-        df = lookup(df, dim, key, dim_key, attributes, default, bounded=True)
+        df = lookup(df, dim, key, dim_key, attributes, default, bounded)
         order += [a for a in attributes.values() if a not in order]
     return df.select(*[quoted(c) for c in order])
 

@@ -1,9 +1,10 @@
 """Exact quantiles and exact global ranks without a global sort in one task.
 
-Both cut the value axis at approximate quantiles (the "ladder"). Between two steps
-lies an open interval; each step is a point of its own. The pieces are ordered, so an
-exact rank is the number of rows in lower pieces plus the rank inside the piece. A
-value held by very many rows is always a step, never part of an interval.
+Quantiles of few groups cut the value axis at approximate quantiles (the "ladder"). Between two steps
+lies an open interval; each step is a point of its own, so a value held by very many rows is never part of an interval.
+
+Ranks, and quantiles of many groups, sort by ranges: each task holds one range of the order, about a million rows, and a rank is the
+number of rows in lower ranges plus the place inside the range. Ranges are cut along the tie column too, so a hot value spreads.
 """
 
 from __future__ import annotations
@@ -17,13 +18,16 @@ from pyspark.sql import functions as F
 
 from labweave.functions.cleaning import nan_to_null
 from labweave.operators.columns import quoted
-from labweave.session import local_table
+from labweave.session import local_table, materialised
 
 MAX_GROUPS = 10_000
 LEAF_ROWS = 1_000_000
 TREE_STEPS = 64
-MAX_PIECES = 8192
 SKETCH_TASKS = 64
+#: Rows for which a task of its own pays, while there are fewer ranges than cores.
+LEAST_RANGE = 20_000
+#: The bits of a row number that count inside a partition.
+INSIDE_BITS = 33
 
 
 def _ladders(rows: DataFrame, key: str, value: str, steps: int) -> dict[object, list[float]]:
@@ -141,7 +145,7 @@ def group_quantiles(
     Scan-only refinement: each round cuts the cells that hold a wanted rank at ``steps``
     approximate quantiles and counts the pieces, until a cell has at most ``leaf_rows``
     rows. No sort of the table and no value list of a group in one task. Counts and
-    ladders of the (few) wanted cells are collected; the group list is checked to be short.
+    ladders of the (few) wanted cells are collected. More than ``MAX_GROUPS`` groups are read off a sort by (group, value) instead.
     """
     rows = df.select(F.col(quoted(group)).alias("g"), nan_to_null(F.col(quoted(value)).cast("double")).alias("v")).filter(
         F.col("g").isNotNull() & F.col("v").isNotNull()
@@ -149,7 +153,7 @@ def group_quantiles(
     kind = rows.schema["g"].dataType.simpleString()
     totals = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).limit(MAX_GROUPS + 1).collect()
     if len(totals) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups; give a coarser group")
+        return _quantiles_of_many(rows, probabilities).withColumnRenamed("g", group)
     cells = [
         _Cell(r.g, None, None, 0, r.n, {f(p * (r.n - 1)) for p in probabilities for f in (floor, ceil)}) for r in totals
     ]
@@ -176,36 +180,40 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Seque
     return group_quantiles(long, "column", "value", probabilities, steps)
 
 
+def _ranked(rows: DataFrame, order: Sequence[str], name: str, ranges: int | None = None) -> DataFrame:
+    """``rows`` with their 1-based place in the order; written once, as two sorts of equal rows need not agree."""
+    spark = rows.sparkSession
+    if ranges is None:
+        n = rows.count()
+        ranges = max(1, n // LEAF_ROWS, min(spark.sparkContext.defaultParallelism, n // LEAST_RANGE))
+    by = [quoted(c) for c in order]
+    held = materialised(rows.repartitionByRange(ranges, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", INSIDE_BITS)
+    counts = held.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    # a row for each range, about a million times fewer than rows
+    below = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_below"))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << INSIDE_BITS) - 1))
+    joined = held.withColumn("_own", part).join(F.broadcast(below), F.col("_own") == F.col("_part"))
+    return joined.select(*[quoted(c) for c in rows.columns], (F.col("_below") + inside + 1).cast("bigint").alias(name))
+
+
+def _quantiles_of_many(rows: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """``(g, p, quantile, n)`` for any number of groups: ranks over (group, value), then the rows at the wanted ranks."""
+    ranked = materialised(_ranked(rows, ["g", "v"], "rank"))
+    groups = ranked.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"))
+    wanted = groups.select("g", "n", "first", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("p"))
+    wanted = wanted.withColumn("at", F.col("p") * (F.col("n") - 1))
+    ends = F.array(F.struct(F.floor("at").alias("place"), (1 - (F.col("at") - F.floor("at"))).alias("share")), F.struct(F.ceil("at").alias("place"), (F.col("at") - F.floor("at")).alias("share")))
+    asked = wanted.select("g", "n", "p", "first", F.inline(ends)).select("g", "n", "p", (F.col("first") + F.col("place")).alias("rank"), "share")
+    # a rank is one row, so no key is hot
+    found = asked.join(ranked.select("rank", "v"), "rank")
+    return found.groupBy("g", "p").agg(F.sum(F.col("v") * F.col("share")).alias("quantile"), F.first("n").alias("n"))
+
+
 def with_global_rank(df: DataFrame, value: str, tie: str, name: str = "rank", steps: int | None = None) -> DataFrame:
     """1-based rank by (value, tie) over all rows; rows with a null value are dropped.
 
-    The rank window is partitioned by ladder piece, about one per million rows. A step
-    value that fills more than one rung is cut further along the tie column (numeric and
-    unique), so no task sorts a hot value alone. Collects a row count and two ladders.
+    ``steps`` is the number of ranges, by default about one per million rows. ``tie`` should be unique: rows that agree in both columns
+    have no order among them.
     """
-    rows = df.filter(F.col(quoted(value)).isNotNull())
-    v, t = F.col(quoted(value)).cast("double"), F.col(quoted(tie)).cast("double")
-    if steps is None:
-        steps = min(MAX_PIECES, max(TREE_STEPS, rows.count() // LEAF_ROWS))
-    both = rows.select(F.inline(F.array(F.struct(F.lit("v").alias("which"), v.alias("x")), F.struct(F.lit("t").alias("which"), t.alias("x")))))
-    got = _ladders(both, "which", "x", steps)
-    rungs = got.get("v", [])
-    ladder, tie_ladder = sorted(set(rungs)), sorted(set(got.get("t", [])))
-    repeats = {s: rungs.count(s) for s in ladder}
-    fine = F.lit(0)
-    for s, times in repeats.items():
-        if times > 1:
-            stride = max(1, len(tie_ladder) // (2 * times))
-            fine = F.when(v == F.lit(s), _piece(t, tie_ladder[::stride])).otherwise(fine)
-    cut = rows.withColumn("_piece", _piece(v, ladder)).withColumn("_fine", fine.cast("int"))
-    counts = cut.groupBy("_piece", "_fine").agg(F.count(F.lit(1)).alias("_n"))
-    # a few rows per rung, whatever the table size
-    offsets = counts.select(
-        F.col("_piece").alias("_p"),
-        F.col("_fine").alias("_f"),
-        (F.sum("_n").over(Window.orderBy("_piece", "_fine")) - F.col("_n")).alias("_below"),
-    )
-    inside = Window.partitionBy("_piece", "_fine").orderBy(F.col(quoted(value)), F.col(quoted(tie)))
-    ranked = cut.withColumn("_inner", F.row_number().over(inside))
-    joined = ranked.join(F.broadcast(offsets), (F.col("_piece") == F.col("_p")) & (F.col("_fine") == F.col("_f")))
-    return joined.select(*[quoted(c) for c in df.columns], (F.col("_below") + F.col("_inner")).cast("bigint").alias(name))
+    return _ranked(df.filter(F.col(quoted(value)).isNotNull()), [value, tie], name, steps)

@@ -38,7 +38,7 @@ def enrich(table: DataFrame) -> DataFrame:
     roles = {
         f"{r} type": {"density": f"{r} type density", "formation_energy": f"{r} type formation energy"} for r in ROLES
     }
-    table = lookup_roles(table, materials, roles, "material")
+    table = lookup_roles(table, materials, roles, "material", bounded=True)
     return lookup(
         table, methods, "Preparation method", "method",
         {"scalability": "Preparation Scalability", "cost": "Preparation cost"}, bounded=True,

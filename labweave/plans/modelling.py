@@ -31,10 +31,10 @@ def run_targets(
     models: Mapping[str, Callable[..., Estimator]] = REGRESSORS, params: Mapping[str, Mapping] | None = None,
     model_root: str | None = None,
 ) -> DataFrame:
-    """Fit and score every model on every target: ``(target, model, metric, value, status)``.
+    """Fit and score every model on every target: ``(target, model, metric, value, status, reason)``.
 
     Preprocessing is fitted on training rows once per target. A failing model leaves a
-    ``failed`` row and the rest goes on.
+    ``failed`` row with the reason, and the rest goes on.
     """
     rows: list[tuple] = []
     for target in targets:
@@ -61,7 +61,8 @@ def run_targets(
                 if held is not None:
                     held.unpersist()
     results = result_rows(table.sparkSession, rows)
-    return results.withColumn("status", F.when(F.col("status").startswith("failed"), "failed").otherwise(F.col("status")))
+    failed = F.col("status").startswith("failed")
+    return results.withColumns({"reason": F.when(failed, F.regexp_replace("status", "^failed: ", "")), "status": F.when(failed, "failed").otherwise(F.col("status"))})
 
 
 def select_features(

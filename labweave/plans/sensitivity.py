@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from labweave.fixed_values import FACTORIAL_DESIGN, PROCESS_INPUTS, QUASI_DESIGN
+from labweave.operators.bootstrap import analyse_with_widths
 from labweave.operators.columns import complement
 from labweave.operators.designs import full_factorial, quantise_design, saltelli_design
 from labweave.operators.profile import response_surfaces
@@ -31,7 +32,8 @@ def save_design(design: DataFrame, path: str) -> None:
 def study(runs: DataFrame, inputs: Sequence[str] = PROCESS_INPUTS, resamples: int = 100, cells: int = 100) -> tuple[DataFrame, DataFrame]:
     """Indices with widths, and response surfaces, of every output column of the runs.
 
-    ``runs`` carries ``block_id`` and ``role`` next to the inputs and outputs.
+    ``runs`` carries ``block_id`` and ``role`` next to the inputs and outputs. Every resample draws as many blocks as there are.
     """
     outputs = [c for c in complement(runs, [*inputs, "block_id", "role"]) if c != "role_no"]
-    return analyse_outputs(runs, list(inputs), outputs, resamples), response_surfaces(runs, inputs, outputs, cells)
+    indices = analyse_with_widths(runs, list(inputs), outputs, resamples) if resamples else analyse_outputs(runs, list(inputs), outputs)
+    return indices, response_surfaces(runs, inputs, outputs, cells)

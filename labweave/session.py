@@ -44,6 +44,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/labweave-{uuid.uuid4().hex}"
 
 
+def materialised(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read from there: later uses neither repeat the work nor see another order of it."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def local_table(spark: SparkSession, rows: Iterable[tuple], schema: str | T.StructType) -> DataFrame:
     """A few driver-side rows as a local relation, whose size the optimizer knows."""
     parsed = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labweave.fixed_values import MISSING_TOKENS
+from labweave.fixed_values import MISSING_TOKENS, MISSING_TOKENS_EXTENDED, READER_NULL_TOKENS
 from labweave.functions import cleaning as c
 from labweave.operators import chemistry, columns, fill, reshape, rows
 from labweave.suite.common import DIRTY_SQL, GAPS_SQL, dirty_lineitem, gappy_lineitem, query, r, sql_hash, sql_number, table
@@ -82,6 +82,22 @@ def c1(spark, sf):
     return dirty_lineitem(spark, sf).select("l_orderkey", c.null_if_missing(F.col("qty_text")).alias("qty"))
 
 
+TOKENS = (*READER_NULL_TOKENS, "?", " NA", "\u00a0NaN\u2003", "nan ", "0", "n.a.")
+TOKENS_SQL = "list_value(" + ", ".join(f"'{t}'" for t in TOKENS) + f")[CAST(l_orderkey % {len(TOKENS)} AS BIGINT) + 1]"
+
+
+@query(
+    "c1_reader_tokens",
+    f"""SELECT l_orderkey, CASE WHEN cell NOT IN ({', '.join(f"'{t}'" for t in READER_NULL_TOKENS)}) THEN cell END AS read,
+          CASE WHEN l_orderkey % {len(TOKENS)} >= {TOKENS.index('0')} THEN cell END AS cleaned FROM (SELECT l_orderkey, {TOKENS_SQL} AS cell FROM lineitem)""",
+)
+def c1_reader(spark, sf):
+    """What a reader takes for missing, cell by cell, and then the wider list with any white space around its tokens."""
+    cell = F.element_at(F.array(*[F.lit(t) for t in TOKENS]), (F.col("l_orderkey") % len(TOKENS) + 1).cast("int"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", c.null_if_reader_missing(cell).alias("read"))
+    return rows.withColumn("cleaned", c.null_if_missing(F.col("read"), MISSING_TOKENS_EXTENDED))
+
+
 @query("c2_numeric_coercion", f"SELECT l_orderkey, {sql_number('qty_text')} AS qty FROM ({DIRTY_SQL})")
 def c2(spark, sf):
     return dirty_lineitem(spark, sf).select("l_orderkey", c.to_number(F.col("qty_text")).alias("qty"))

@@ -201,6 +201,13 @@ def plan_study_indices(spark, sf):
     return study(study_runs(spark, sf, 25), NAMES, resamples=0)[0].withColumn("value", r("value"))
 
 
+@query("plan_study_widths", index_sql(MANY).replace(' FROM idx', ', true AS has_width FROM idx'))
+def plan_study_widths(spark, sf):
+    """The whole study of 25 outputs: indices, and for each of them a width from 100 exact resamples."""
+    out = study(study_runs(spark, sf, 25), NAMES)[0]
+    return out.select("output", "order", "factor_i", "factor_j", r("value").alias("value"), F.coalesce(F.col("conf") >= 0, F.lit(False)).alias("has_width"))
+
+
 def surfaces_sql(outputs) -> str:
     roles = designs.role_names(3)
     runs = " UNION ALL ".join("SELECT " + ", ".join(f"{x} AS {name}" for x, name in zip(picks(role, 3), NAMES)) + " FROM ab" for role in roles)
@@ -217,4 +224,4 @@ def surfaces_sql(outputs) -> str:
 @query("plan_study_surfaces", surfaces_sql({k: MANY[k] for k in ("out0", "out1")}))
 def plan_study_surfaces(spark, sf):
     """Mean outputs over 100 x 100 cells of every pair of inputs."""
-    return study(study_runs(spark, sf, 2), NAMES)[1].withColumn("z", r("z"))
+    return study(study_runs(spark, sf, 2), NAMES, resamples=0)[1].withColumn("z", r("z"))

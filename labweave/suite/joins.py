@@ -48,7 +48,7 @@ def typed_lineitem(spark, sf):
 def j1(spark, sf):
     dim = lookup.dimension(spark, MATERIALS, "material", ["formation_energy", "density"])
     roles = {k: {"density": f"{k}_density", "formation_energy": f"{k}_energy"} for k in ("active", "promoter")}
-    return lookup.lookup_roles(typed_lineitem(spark, sf), dim, roles, "material").drop("method")
+    return lookup.lookup_roles(typed_lineitem(spark, sf), dim, roles, "material", bounded=True).drop("method")
 
 
 @query(

@@ -264,9 +264,9 @@ def m11(spark, sf):
 
 @query(
     "m12_models_by_target",
-    """SELECT target, model, metric, status, CASE WHEN metric <> 'r2' OR target = 'price' THEN true END AS holds FROM (VALUES ('price'), ('price_per_line')) t(target),
+    """SELECT target, model, metric, status, CASE WHEN metric <> 'r2' OR target = 'price' THEN true END AS holds, NULL AS reason FROM (VALUES ('price'), ('price_per_line')) t(target),
               (VALUES ('RF', 'ok'), ('GBDT', 'ok')) m(model, status), (VALUES ('mse'), ('rmse'), ('r2')) s(metric)
-       UNION ALL SELECT target, 'broken', NULL, 'failed', NULL FROM (VALUES ('price'), ('price_per_line')) t(target)""",
+       UNION ALL SELECT target, 'broken', NULL, 'failed', NULL, 'this model cannot be built' FROM (VALUES ('price'), ('price_per_line')) t(target)""",
 )
 def m12(spark, sf):
     """Two models and one that cannot be built, on two targets: errors are positive, and so is R2 for the price.
@@ -281,7 +281,7 @@ def m12(spark, sf):
     models = {"RF": regressors.random_forest, "GBDT": regressors.gradient_boosting, "broken": broken}
     small = {"RF": {"n_trees": 4, "max_depth": 4}, "GBDT": {"n_trees": 3}}
     out = run_targets(rows, FEATURES, ["price", "price_per_line"], "k", models, small)
-    return out.select("target", "model", "metric", "status", F.when((F.col("metric") != "r2") | (F.col("target") == "price"), F.col("value") > 0).alias("holds"))
+    return out.select("target", "model", "metric", "status", F.when((F.col("metric") != "r2") | (F.col("target") == "price"), F.col("value") > 0).alias("holds"), "reason")
 
 
 @query("plan_select_features", f"SELECT feature, ranked, selected, n FROM ({ranking_sql('qty')}), (SELECT count(*) AS n FROM ({ORDER_SQL}) WHERE {sql_hash('k', 42)} >= {int(round(0.2 * MODULUS))})")
@@ -313,7 +313,7 @@ def plan_tune_and_fit(spark, sf):
 )
 def m13(spark, sf):
     """Imputing and scaling travel with the saved model; for a linear model they cancel out."""
-    rows = order_features(spark, sf).persist()
+    rows = order_features(spark, sf)
     steps = prep.preprocessing(["qty"]).getStages()
     root = shared_dir(spark)
     stores.save_model(Pipeline(stages=[*steps, LinearRegression()]).fit(rows), root, "price", "scaled OLS")

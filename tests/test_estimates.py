@@ -181,3 +181,75 @@ def test_failed_trials_go_out(spark):
     assert out[0]["n_rows"] < out[-1]["n_rows"] == 300
     with pytest.raises(ValueError, match="candidates are needed"):
         validation.successive_halving(rows, "id", line, candidates[:2], [[(3, 0.5), (1, 1.0)]])
+
+
+# --- bounds and caps
+
+
+def test_copies_are_bounded_by_bytes(spark):
+    from labweave.operators import lookup
+
+    wide = spark.range(40).select(F.repeat(F.lit("x"), 1000).alias("text"))
+    assert lookup.bounded_copy(wide, most_bytes=10_000) is None
+    assert lookup.bounded_copy(wide, most_bytes=1 << 20).count() == 40
+    assert lookup.bounded_copy(wide.limit(0)).count() == 0
+
+
+def test_more_windows_than_a_literal_list_holds(spark, monkeypatch):
+    from labweave.operators import reshape
+
+    rows = [(i, str(i), str(i * i)) for i in range(1, 200)]
+    sheet = spark.createDataFrame(rows, "_row bigint, x string, y string")
+    windows = [(i % 2, 3 * i, 3 * i + 5) for i in range(1, 60)]
+    few = reshape.window_series(sheet, windows, {"y": 1}).collect()
+    monkeypatch.setattr(reshape, "MAX_WINDOWS", 3)
+    many = reshape.window_series(sheet, windows, {"y": 1}).collect()
+    assert sorted(map(tuple, few)) == sorted(map(tuple, many)) and len(few) > 300
+
+
+def test_quantiles_of_many_groups(spark, monkeypatch):
+    from labweave.operators import quantiles
+
+    rows = spark.range(5000).select((F.col("id") % 37).alias("g"), ((F.col("id") * 7919) % 1000 / 10).alias("v")).unionByName(spark.range(3000).select(F.lit(5).cast("long").alias("g"), F.lit(2.5).alias("v")))
+    probabilities = [0.0, 0.1, 0.5, 0.99, 1.0]
+    few = sorted(map(tuple, quantiles.group_quantiles(rows, "g", "v", probabilities).collect()))
+    monkeypatch.setattr(quantiles, "MAX_GROUPS", 3)
+    many = sorted(map(tuple, quantiles.group_quantiles(rows, "g", "v", probabilities).collect()))
+    assert len(few) == len(many) == 37 * 5
+    assert all(a[:2] == b[:2] and a[3] == b[3] and a[2] == pytest.approx(b[2]) for a, b in zip(few, many))
+
+
+def test_ranks_over_many_ranges(spark):
+    from labweave.operators import quantiles
+
+    rows = spark.range(20_000).select(F.col("id").alias("k"), F.when(F.col("id") % 3 == 0, 1.0).otherwise(F.col("id") % 101 * 1.0).alias("v")).unionByName(spark.createDataFrame([(-1, None)], "k bigint, v double"))
+    got = quantiles.with_global_rank(rows, "v", "k", steps=13).toPandas().sort_values(["v", "k"])
+    assert got["rank"].tolist() == list(range(1, 20_001))
+    assert quantiles.with_global_rank(rows.limit(0), "v", "k").count() == 0
+
+
+def test_few_values_are_exact(spark):
+    from labweave.ml.explain import few_values
+
+    rows = spark.range(1000).repartition(7).select((F.col("id") % 4).alias("a"), (F.col("id") % 5).alias("b"), F.when(F.col("id") < 0, 1.0).alias("c"))
+    assert few_values(rows, ["a", "b", "c"], 4) == {"a": [0.0, 1.0, 2.0, 3.0]}
+
+
+def test_several_documents_need_an_order(spark):
+    from labweave.operators.chemistry import first_energy
+
+    kind = "results array<struct<adsorption_measurement: struct<adsorbate_species: struct<formula: string>, is_most_stable_site: boolean, adsorption_energy: double, bulk_surface_property_set: struct<bulk_surface_material: struct<name: string>>>>>"
+    with pytest.raises(ValueError, match="column doc"):
+        first_energy(spark.createDataFrame([([],), ([],)], kind))
+    assert first_energy(spark.createDataFrame([([],)], kind)).count() == 0
+
+
+def test_reasons_of_failures_are_kept(spark):
+    from labweave.plans.modelling import run_targets
+
+    def broken(**_):
+        raise ValueError("no such model")
+
+    rows = spark.range(60).select("id", F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("y"))
+    out = run_targets(rows, ["x"], ["y"], "id", {"broken": broken}).collect()
+    assert [(r["status"], r["reason"]) for r in out] == [("failed", "no such model")]
