@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from labweave.functions.hashing import MODULUS, integer_hash, key_hash
 from labweave.operators.sensitivity import _index_aggregates, _index_rows, block_table, sobol_indices, standardise_blocks
-from labweave.session import materialised
 
 #: Blocks that a bucket holds on average, and the most levels of the tree of buckets (its counts go to the driver and to all tasks).
 BUCKET_BLOCKS, MAX_LEVELS = 2048, 20
@@ -117,9 +116,9 @@ def exact_bootstrap_widths(table: DataFrame, names: Sequence[str], resamples: in
 def analyse_with_widths(runs: DataFrame, names: Sequence[str], outputs: Sequence[str], resamples: int = 100, seed: int = 42) -> DataFrame:
     """``(output, order, factor_i, factor_j, value, conf)`` of every output, with exact resamples.
 
-    The block table is written once; the means, the indices and all resamples read it from there. A constant output gets nulls.
+    The block table is written once (by ``standardise_blocks``); the means, the indices and all resamples read it from there. A constant output gets nulls.
     """
-    table = standardise_blocks(materialised(block_table(runs, len(names), outputs)), len(names))
+    table = standardise_blocks(block_table(runs, len(names), outputs), len(names))
     widths = exact_bootstrap_widths(table, names, resamples, seed).select("output", "order", "factor_i", F.col("factor_j").alias("_j"), "conf")
     indices = sobol_indices(table, names)
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("output", "order", "factor_i")]

@@ -18,6 +18,8 @@ from labweave.session import local_table
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 1 << 25
 LITERAL_ROWS = 10_000
 SALTS = 16
+#: A key is hot from so many rows on; at most so many keys are.
+HOT_ROWS, MAX_HOT = 100, 1000
 
 
 def bounded_copy(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame | None:
@@ -45,16 +47,26 @@ def bounded_copy(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = B
     return df.sparkSession.createDataFrame(rows.drop_columns(["_over"]), df.schema)
 
 
-def salted_left_join(facts: DataFrame, side: DataFrame, fact_key: Column, side_key: str) -> DataFrame:
-    """Left join by shuffle with the facts salted and the unique-keyed side replicated per salt.
+def hot_keys(counts: DataFrame, key: str, n: str) -> list:
+    """The keys with at least ``HOT_ROWS`` rows, the ``MAX_HOT`` most frequent of them: a key beyond these has less than one row in
+    ``MAX_HOT``."""
+    top = counts.where(F.col(n) >= HOT_ROWS).orderBy(F.col(n).desc(), key).limit(MAX_HOT)
+    return [r[0] for r in top.select(key).collect()]
 
-    A key that holds a large share of the facts is spread over ``SALTS`` tasks. The salt hangs on the row and on the task that reads it,
-    so equal rows of different tasks spread too, and a repeated task draws the same salts.
+
+def salted_left_join(facts: DataFrame, side: DataFrame, fact_key: Column, side_key: str, hot: list | None = None) -> DataFrame:
+    """Left join by shuffle that spreads hot keys: their facts are salted, and only their rows of the unique-keyed side are copied.
+
+    Without ``hot``, the facts' keys are counted first. The salt hangs on the row and on the task that reads it, so equal rows of
+    different tasks spread too, and a repeated task draws the same salts. Facts without a key match nothing and spread as well.
     """
-    replicated = side.withColumn("_salt_r", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    if hot is None:
+        hot = hot_keys(facts.where(fact_key.isNotNull()).groupBy(fact_key.alias("_k")).agg(F.count(F.lit(1)).alias("_n")), "_k", "_n")
+    is_hot = (lambda key: key.isin(hot)) if hot else (lambda key: F.lit(False))
+    replicated = side.withColumn("_salt_r", F.explode(F.sequence(F.lit(0), F.when(is_hot(F.col(side_key)), SALTS - 1).otherwise(0))))
     salt = F.pmod(F.xxhash64(*[quoted(c) for c in facts.columns], F.spark_partition_id()), F.lit(SALTS)).cast("int")
-    condition = (fact_key == F.col(side_key)) & (F.col("_salt_l") == F.col("_salt_r"))
-    return facts.withColumn("_salt_l", salt).join(replicated, condition, "left")
+    salted = facts.withColumn("_salt_l", F.when(fact_key.isNull() | is_hot(fact_key), salt).otherwise(0))
+    return salted.join(replicated, (fact_key == F.col(side_key)) & (F.col("_salt_l") == F.col("_salt_r")), "left")
 
 
 def dimension(spark: SparkSession, rows: Mapping[str, tuple], key: str, attributes: Sequence[str]) -> DataFrame:

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from labweave.functions.binning import bin_interval, with_right_closed_bins
 from labweave.functions.stats import STATS, stat, with_stats
 from labweave.operators.columns import quoted
-from labweave.operators.lookup import bounded_copy, salted_left_join
+from labweave.operators.lookup import bounded_copy, hot_keys, salted_left_join
 from labweave.operators.moments import pair_correlation, pair_moments
 from labweave.operators.quantiles import group_quantiles
+from labweave.session import materialised
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -77,8 +78,8 @@ def with_frequency(df: DataFrame, column: str, name: str = "frequency") -> DataF
     """Attach how often a row's own value occurs; null for null.
 
     Counts are aggregated first and joined back: by broadcast when there are few distinct
-    values, else by a salted shuffle, so a value held by a third of the rows is never one
-    task's work as it would be in a window.
+    values, else by a shuffle in which the hot values, which the counts tell, are salted, so a value held by a third of the rows is
+    never one task's work as it would be in a window.
     """
     key = F.col(quoted(column))
     counts = df.filter(key.isNotNull()).groupBy(key.alias("_value")).agg(F.count(F.lit(1)).alias(name))
@@ -86,7 +87,8 @@ def with_frequency(df: DataFrame, column: str, name: str = "frequency") -> DataF
     if small is not None:
         joined = df.join(F.broadcast(small), key == F.col("_value"), "left")
     else:
-        joined = salted_left_join(df, counts, key, "_value")
+        known = materialised(counts)  # they tell the hot values as well
+        joined = salted_left_join(df, known, key, "_value", hot_keys(known, "_value", name))
     return joined.select(*[quoted(c) for c in df.columns], name)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from labweave.functions.hashing import integer_hash, unit
 from labweave.operators.columns import quoted
 from labweave.operators.designs import role_names
+from labweave.session import materialised
 
 # Poisson(1) distribution function: P(X <= k) for k = 0, 1, 2, ...
 POISSON_STEPS = (
@@ -47,8 +48,9 @@ def block_table(runs: DataFrame, d: int, outputs: Sequence[str], block_id: str =
 
 
 def standardise_blocks(table: DataFrame, d: int) -> DataFrame:
-    """Subtract the mean and divide by the population deviation of all runs, per output."""
+    """Subtract the mean and divide by the population deviation of all runs, per output. The table is written once and read twice."""
     roles = role_names(d)
+    table = materialised(table)
     every = table.select("output", F.explode(F.array(*roles)).alias("y"))
     stats = every.groupBy("output").agg(F.avg("y").alias("_mean"), F.stddev_pop("y").alias("_dev"))
     # one row per output column of the run table

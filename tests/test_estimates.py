@@ -253,3 +253,16 @@ def test_reasons_of_failures_are_kept(spark):
     rows = spark.range(60).select("id", F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("y"))
     out = run_targets(rows, ["x"], ["y"], "id", {"broken": broken}).collect()
     assert [(r["status"], r["reason"]) for r in out] == [("failed", "no such model")]
+
+
+def test_only_hot_keys_are_copied(spark, monkeypatch):
+    from labweave.operators import lookup
+
+    monkeypatch.setattr(lookup, "HOT_ROWS", 100)
+    facts = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id")).cast("long").alias("key"))
+    side = spark.range(0, 3000, 2).unionByName(spark.createDataFrame([(7,)], "id bigint")).select(F.col("id").alias("_s"), (F.col("id") * 10).alias("value"))
+    got = lookup.salted_left_join(facts, side, F.col("key"), "_s").select("id", "key", "value").collect()
+    known = {r["_s"]: r["value"] for r in side.collect()}
+    assert len(got) == 3000 and all(r["value"] == known.get(r["key"]) for r in got)
+    counts = facts.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    assert lookup.hot_keys(counts.where("key is not null"), "key", "n") == [7]
