@@ -43,6 +43,8 @@ PER_LABEL_BYTES = 1 << 24
 COMMON = 16
 #: What rounding may do to a cosine at most; how many texts are looked at together.
 SLACK, TOGETHER = 1e-5, 128
+#: Bytes of texts that a task looks at together.
+TEXT_BYTES = 1 << 20
 #: Into how many parts the document frequencies are cut on their way to the driver.
 PARTS = 256
 
@@ -305,6 +307,17 @@ def _example_terms(rows: DataFrame) -> pa.Table:
     return rows.select("key", "text").mapInArrow(run, "key bigint, terms binary, times binary").toArrow()
 
 
+def _flat(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """How many values each row of a column of bytes holds, and all values in order."""
+    sizes, values = [np.zeros(0, np.int64)], [np.zeros(0, kind)]
+    for chunk in column.chunks:
+        ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        sizes.append(np.diff(ends).astype(np.int64) // np.dtype(kind).itemsize)
+        if ends[-1] > ends[0]:
+            values.append(np.frombuffer(chunk.buffers()[2][int(ends[0]) : int(ends[-1])], kind))
+    return np.concatenate(sizes), np.concatenate(values)
+
+
 def _document_frequencies(docs: DataFrame, vocabulary: Vocabulary, text: str) -> tuple[np.ndarray, int]:
     """In how many of all documents each term occurs, and how many there are. A task sends its counts in ``PARTS`` pieces."""
     size, shared = len(vocabulary.hashes), docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -314,7 +327,7 @@ def _document_frequencies(docs: DataFrame, vocabulary: Vocabulary, text: str) ->
         vocabulary = shared.value
         found, n = np.zeros(size, np.int64), 0
         for batch in batches:
-            for _, data, offsets in text_blocks(batch.column(0)):
+            for _, data, offsets in text_blocks(batch.column(0), TEXT_BYTES):
                 found += np.bincount(vocabulary.counts(data, offsets)[1], minlength=size)
                 n += len(offsets) - 1
         pieces = [found[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] + [np.array([n]).tobytes()]
@@ -367,13 +380,14 @@ def fit(
     ids, y = np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], np.float64)
     n, positive = len(y), float(y.sum())
     found = _example_terms(chosen if len(examples) == len(listed) else chosen.where(F.col("key").isin(ids.tolist())))
-    sizes = np.array([len(t) // 4 for t in found["times"].to_pylist()], np.int64)
-    rows = np.repeat(np.searchsorted(ids, found["key"].to_numpy()), sizes).astype(np.int32)
-    times = np.frombuffer(b"".join(found["times"].to_pylist()), np.int32)
-    hashes, cols = np.unique(np.frombuffer(b"".join(found["terms"].to_pylist()), np.int64), return_inverse=True)
+    sizes, times = _flat(found["times"], np.int32)
+    rows = np.repeat(np.searchsorted(ids, found["key"].to_numpy()).astype(np.int32), sizes)
+    hashes, cols = np.unique(_flat(found["terms"], np.int64)[1], return_inverse=True)
+    cols = cols.astype(np.int32)
     del found
     order = np.lexsort((cols, rows))
-    rows, cols, times = rows[order].astype(np.int64), cols[order], times[order]
+    rows, cols, times = rows[order], cols[order], times[order]
+    del order
     vocabulary = Vocabulary(hashes)
     frequency, total = _document_frequencies(docs, vocabulary, text)
     idf = (np.log((1 + total) / (1 + frequency)) + 1e-3) * label_shares(cols, y[rows], y, len(hashes))
@@ -408,7 +422,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, key: str = "doc_id",
     def run(batches):
         model = shared.value
         for batch in batches:
-            for row, data, offsets in text_blocks(batch.column(1)):
+            for row, data, offsets in text_blocks(batch.column(1), TEXT_BYTES):
                 scores, near, cosines = model.score(data, offsets)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -430,7 +444,7 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, limit: float = 0.5, tex
     def run(batches):
         model = shared.value
         for batch in batches:
-            scores = [model.score(data, offsets)[0] for _, data, offsets in text_blocks(batch.column(at))]
+            scores = [model.score(data, offsets)[0] for _, data, offsets in text_blocks(batch.column(at), TEXT_BYTES)]
             if scores:
                 yield batch.filter(pa.array(np.concatenate(scores) < limit))
 
