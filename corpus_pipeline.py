@@ -45,7 +45,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The classifiers and the hashing have no SQL form; tests compare ``run`` with a brute-force version.
+#: The classifiers and the hashing have no SQL form; ``tests/llm/test_pipeline.py`` compares every stage with plain Python.
 ORACLE_SQL = None
 
 
