@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ POISSON_STEPS = (
     0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
     0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.9999988747974020, 0.9999998885745217,
 )
+#: Rows of blocks under way that a task holds at most before it passes them on.
+MAX_PENDING = 1 << 16
 
 
 def block_table(runs: DataFrame, d: int, outputs: Sequence[str], block_id: str = "block_id", role: str = "role") -> DataFrame:
@@ -59,16 +63,16 @@ def standardise_blocks(table: DataFrame, d: int) -> DataFrame:
     return joined.select("output", "block_id", *[((F.col(r) - F.col("_mean")) / scale).alias(r) for r in roles])
 
 
-def _index_aggregates(d: int, mean) -> dict[str, Column]:
-    """Expected products; ``mean`` builds a plain or weighted average."""
-    a, b = F.col("A"), F.col("B")
+def _index_aggregates(d: int, mean, role=F.col) -> dict:
+    """Expected products; ``mean`` builds a plain or weighted average of what ``role`` gives for a role, columns or arrays."""
+    a, b = role("A"), role("B")
     out = {"m": mean((a + b) / 2), "q": mean((a * a + b * b) / 2), "ab": mean(a * b)}
     for j in range(1, d + 1):
-        ab = F.col(f"AB_{j}")
+        ab = role(f"AB_{j}")
         out[f"f{j}"] = mean(b * (ab - a))
         out[f"t{j}"] = mean((a - ab) * (a - ab))
     for j, k in combinations(range(1, d + 1), 2):
-        out[f"s{j}_{k}"] = mean(F.col(f"BA_{j}") * F.col(f"AB_{k}"))
+        out[f"s{j}_{k}"] = mean(role(f"BA_{j}") * role(f"AB_{k}"))
     return out
 
 
@@ -131,6 +135,194 @@ def bootstrap_widths(table: DataFrame, names: Sequence[str], resamples: int = 10
     return spread.groupBy("output", "order", "factor_i", "factor_j").agg((F.lit(z) * F.stddev_samp("value")).alias("conf"))
 
 
+def _term_names(d: int) -> list[str]:
+    return list(_index_aggregates(d, lambda x: x, lambda _: 0.0))
+
+
+class TermSums:
+    """Weighted sums of the index terms of each output, and the weight that went into them, for plain blocks (resample 0) and all resamples."""
+
+    def __init__(self, d: int, outputs: Sequence[str], resamples: int):
+        self.d, self.outputs, self.names = d, list(outputs), _term_names(d)
+        shape = (resamples + 1, len(self.outputs), len(self.names))
+        self.sums, self.weights, self.met = np.zeros(shape), np.zeros(shape), False
+
+    @property
+    def schema(self) -> str:
+        return "output string, resample int, " + ", ".join(f"s_{k} double, w_{k} double" for k in self.names)
+
+    def add(self, roles: dict[str, np.ndarray], weights: np.ndarray | None, which: slice | int = slice(None)) -> None:
+        """``roles`` has standardised values by block and output, ``weights`` by resample and block; a term without a value has no weight."""
+        terms = np.stack([*_index_aggregates(self.d, lambda x: x, roles.__getitem__).values()], axis=-1)
+        n = len(terms)
+        weights = np.ones((1, n)) if weights is None else np.vstack([np.ones((1, n)), weights])
+        known = ~np.isnan(terms)
+        found = (weights @ np.where(known, terms, 0.0).reshape(n, -1)).reshape(len(weights), *terms.shape[1:])
+        self.sums[:, which] += found
+        self.weights[:, which] += weights.sum(axis=1)[:, None, None] if known.all() else (weights @ known.reshape(n, -1).astype(float)).reshape(found.shape)
+        self.met = True
+
+    def rows(self, nan: np.ndarray | None = None) -> pa.Table:
+        """A row for each output and resample; outputs marked in ``nan`` have no finite deviation, so their terms are NaN."""
+        if nan is not None:
+            self.sums[:, nan], self.weights[:, nan] = np.nan, 1.0
+        r, o, _ = self.sums.shape
+        flat = lambda x: x.reshape(r * o, -1).T
+        parts = [pa.array(self.outputs * r, pa.string()), pa.array(np.repeat(np.arange(r, dtype=np.int32), o))]
+        for s, w in zip(flat(self.sums), flat(self.weights), strict=True):
+            parts += [pa.array(np.ascontiguousarray(s)), pa.array(np.ascontiguousarray(w))]
+        return pa.table(parts, names=["output", "resample", *(f"{x}_{k}" for k in self.names for x in "sw")])
+
+
+def term_means(sums: DataFrame, d: int) -> DataFrame:
+    """Means of the index terms by output and resample, from the sums of all tasks."""
+    totals = sums.groupBy("output", "resample").agg(*[F.sum(c).alias(c) for c in sums.columns[2:]])
+    return totals.select("output", "resample", *[F.when(F.col(f"w_{k}") > 0, F.col(f"s_{k}") / F.col(f"w_{k}")).alias(k) for k in _term_names(d)])
+
+
+def block_key(column: str) -> Column:
+    """A number of 64 bits for a block; whole numbers never share one."""
+    return F.xxhash64(F.col(quoted(column)))
+
+
+def _spread(values: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean and population deviation of every column, NaN where there is none or no spread, and which columns hold NaN or infinite values.
+
+    A task reduces its batches to three numbers a column, so that wide tables need no generated code of their width.
+    """
+    width = len(values.columns)
+
+    def merged(parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, mean, square = np.zeros(width), np.zeros(width), np.zeros(width)
+        for n2, mean2, square2 in parts:
+            whole, apart = n + n2, mean2 - mean
+            share = n2 / np.maximum(whole, 1)
+            n, mean, square = whole, mean + apart * share, square + square2 + apart * apart * n * share
+        return n, mean, square
+
+    def of_batch(batch):
+        y = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+        n = np.array([len(c) - c.null_count for c in batch.columns], float)
+        gaps = np.array([[False] * width]) if n.min() == len(y) else np.column_stack([c.is_null().to_numpy(zero_copy_only=False) for c in batch.columns])
+        y = np.where(gaps, 0.0, y)
+        mean = y.sum(axis=0) / np.maximum(n, 1)
+        return n, mean, (np.where(gaps, 0.0, y - mean) ** 2).sum(axis=0)
+
+    def run(batches):
+        found = merged(of_batch(b) for b in batches if len(b))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), *map(pa.array, found)], ["k", "n", "m", "q"])
+
+    with np.errstate(invalid="ignore"):
+        rows = values.mapInArrow(run, "k int, n double, m double, q double").toArrow()
+        parts = [rows[c].to_numpy().reshape(-1, width) for c in ("n", "m", "q")]
+        n, mean, square = merged(zip(*parts, strict=True))
+        dev = np.sqrt(square / np.maximum(n, 1))
+    return np.where(n > 0, mean, np.nan), np.where(dev > 0, dev, np.nan), np.isnan(dev)
+
+
+def run_sums(runs: DataFrame, d: int, outputs: Sequence[str], draws=None) -> DataFrame:
+    """Means of the index terms of standardised outputs, ``(output, resample, <terms>)``, straight from the runs.
+
+    Outputs are standardised by one aggregate over the runs. A task sums the blocks whose runs all lie near each other, as a simulator
+    writes them, and passes on only their number; the runs of other blocks meet by a shuffle of their own. There every block is
+    checked, whatever tasks its runs came from: an incomplete block, a doubled role or an unknown role stops the job. ``draws`` gives
+    the weights of blocks in resamples (see ``bootstrap``); resample 0 is the plain mean.
+    """
+    roles, outputs, width = role_names(d), list(outputs), 2 * d + 2
+    values = [F.col(quoted(o)).cast("double") for o in outputs]
+    mean, dev, nan = _spread(runs.select(*[v.alias(f"y{k}") for k, v in enumerate(values)]))
+    kind = runs.schema["block_id"].dataType.simpleString()
+    number = F.coalesce(F.array_position(F.array(*map(F.lit, roles)), F.col("role")).cast("int"), F.lit(0)) - 1
+    resamples = draws.resamples if draws else 0
+    every = (1 << width) - 1
+
+    def add(sums: TermSums, keys: np.ndarray, role: np.ndarray, y: np.ndarray) -> None:
+        """Rows of whole blocks, in any order."""
+        order = np.lexsort((role, keys))
+        cube = (y[order].reshape(-1, width, len(outputs)) - mean) / dev
+        sums.add({r: cube[:, i] for i, r in enumerate(roles)}, draws.weights(keys[order][::width]) if draws else None)
+
+    def whole(keys: np.ndarray, role: np.ndarray) -> np.ndarray:
+        """Of each row, whether its block has every role once: as many powers of two as roles make this sum only if all differ."""
+        _, block, n = np.unique(keys, return_inverse=True, return_counts=True)
+        bits = np.bincount(block, np.where(role >= 0, 1 << np.maximum(role, 0), 0))
+        return ((n == width) & (bits == every))[block]
+
+    names = ["block_id", "_key", "_role", "_y", "_sums"]
+    passed = f"block_id {kind}, _key bigint, _role int, _y array<double>, _sums binary"
+    block_type = runs.select("block_id").limit(0).toArrow().schema.field(0).type
+
+    def row_batch(ids, keys, role, y) -> pa.RecordBatch:
+        lists = pa.nulls(len(keys), pa.list_(pa.float64())) if y is None else pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * len(outputs)), pa.array(y.ravel()))
+        return pa.RecordBatch.from_arrays([ids, pa.array(keys), pa.array(role.astype(np.int32)), lists, pa.nulls(len(keys), pa.binary())], names)
+
+    def near(batches):
+        sums, held = TermSums(d, outputs, resamples), None
+        for batch in batches:
+            ids, keys, role = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            y = np.column_stack([batch.column(3 + k).to_numpy(zero_copy_only=False) for k in range(len(outputs))]).astype(float)
+            if held is not None:
+                ids, keys, role, y = pa.concat_arrays([held[0], ids]), np.append(held[1], keys), np.append(held[2], role), np.vstack([held[3], y])
+            done = whole(keys, role)
+            if done.any():
+                add(sums, keys[done], role[done], y[done])
+                first = np.flatnonzero(done & (role == 0))
+                yield row_batch(ids.take(pa.array(first)), keys[first], np.full(len(first), width), None)
+            rest = np.flatnonzero(~done)
+            held = ids.take(pa.array(rest)), keys[rest], role[rest], y[rest]
+            if len(rest) > MAX_PENDING:
+                yield row_batch(*held)
+                held = None
+        if held is not None and len(held[1]):
+            yield row_batch(*held)
+        if sums.met:
+            packed = pa.BufferOutputStream()
+            with pa.ipc.new_stream(packed, sums.rows().schema) as out:
+                out.write_table(sums.rows(nan))
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, block_type), pa.array([0]), pa.array([-2], pa.int32()), pa.nulls(1, pa.list_(pa.float64())), pa.array([packed.getvalue().to_pybytes()], pa.binary())], names
+            )
+
+    def met(batches):
+        """Rows in order of the key: marks of blocks that a task has summed, runs of the others, and sums of tasks."""
+        sums, held = TermSums(d, outputs, resamples), []
+
+        def settle(parts) -> None:
+            ids, keys, role = pa.concat_arrays([p.column(0) for p in parts]), *(np.concatenate([p.column(i).to_numpy() for p in parts]) for i in (1, 2))
+            _, block, n = np.unique(keys, return_inverse=True, return_counts=True)
+            marks = np.bincount(block, role == width)
+            runs_ = np.flatnonzero(role < width)
+            fine = ((n == 1) & (marks == 1))[block]
+            fine[runs_] = whole(keys[runs_], role[runs_]) & (marks == 0)[block[runs_]]
+            if not fine.all():
+                raise ValueError(f"incomplete or doubled roles in block {ids[int(np.flatnonzero(~fine)[0])].as_py()}")
+            if len(runs_):
+                y = pa.concat_arrays([p.column(3) for p in parts]).take(pa.array(runs_)).flatten().to_numpy(zero_copy_only=False).reshape(len(runs_), -1)
+                add(sums, keys[runs_], role[runs_], y)
+
+        for batch in batches:
+            for packed in batch.column(4).drop_null():
+                yield from pa.ipc.open_stream(packed.as_buffer()).read_all().to_batches()
+            batch = batch.filter(pa.array(batch.column(2).to_numpy() != -2))
+            if not len(batch):
+                continue
+            keys = batch.column(1).to_numpy()
+            last = int(np.searchsorted(keys, keys[-1]))  # the last block may go on in the next batch
+            if last or (held and held[-1].column(1)[-1].as_py() != keys[0]):
+                if ready := [*held, *([batch.slice(0, last)] if last else [])]:
+                    settle(ready)
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            settle(held)
+        if sums.met:
+            yield from sums.rows(nan).to_batches()
+
+    rows = runs.select("block_id", block_key("block_id").alias("_key"), number.alias("_role"), *[v.alias(f"y{k}") for k, v in enumerate(values)])
+    tagged = rows.mapInArrow(near, passed).repartition("_key").sortWithinPartitions("_key")
+    return term_means(tagged.mapInArrow(met, TermSums(d, outputs, 0).schema), d)
+
+
 def analyse_outputs(
     runs: DataFrame, names: Sequence[str], outputs: Sequence[str], resamples: int = 0, seed: int = 42
 ) -> DataFrame:
@@ -138,10 +330,10 @@ def analyse_outputs(
 
     A constant output gets null indices and does not disturb the others.
     """
+    if not resamples:
+        return _index_rows(run_sums(runs, len(names), outputs), ["output"], names)
     table = standardise_blocks(block_table(runs, len(names), outputs), len(names))
     indices = sobol_indices(table, names)
-    if not resamples:
-        return indices
     widths = bootstrap_widths(table, names, resamples, seed)
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("output", "order", "factor_i", "factor_j")]
     condition = same[0] & same[1] & same[2] & same[3]

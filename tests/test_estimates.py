@@ -266,3 +266,53 @@ def test_only_hot_keys_are_copied(spark, monkeypatch):
     assert len(got) == 3000 and all(r["value"] == known.get(r["key"]) for r in got)
     counts = facts.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     assert lookup.hot_keys(counts.where("key is not null"), "key", "n") == [7]
+
+
+def scattered_runs(spark, n, outputs):
+    names = ["x1", "x2", "x3"]
+    blocks = spark.range(n).select(F.col("id").alias("block_id"))
+    runs = designs.saltelli_blocks(blocks, {c: (-3.0, 3.0) for c in names}, n)
+    return names, runs.withColumns({f"y{k}": F.sin("x1") + k * F.sin("x2") * F.col("x3") for k in range(outputs)}).withColumn("flat", F.lit(1.0))
+
+
+def test_indices_and_widths_straight_from_runs_equal_those_of_the_block_table(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "BUCKET_BLOCKS", 32)
+    names, runs = scattered_runs(spark, 300, 2)
+    outputs = ["y0", "y1", "flat"]
+    table = sensitivity.standardise_blocks(sensitivity.block_table(runs, 3, outputs), 3)
+    keyed = lambda rows, c: {(r["output"], r["order"], r["factor_i"], r["factor_j"]): r[c] for r in rows}
+    value = keyed(sensitivity.sobol_indices(table, names).collect(), "value")
+    conf = keyed(bootstrap.exact_bootstrap_widths(table, names, 20).collect(), "conf")
+    # written block by block, and with the runs of a block in many tasks
+    for layout in (runs, runs.repartition(5, "role")):
+        got = bootstrap.analyse_with_widths(layout, names, outputs, 20).collect()
+        for want, column in ((value, "value"), (conf, "conf")):
+            found = keyed(got, column)
+            assert found.keys() == want.keys()
+            assert all(found[k] is None if v is None else found[k] == pytest.approx(v, abs=1e-9) for k, v in want.items())
+
+
+def test_study_passes_on_no_values_of_blocks_that_lie_together(spark):
+    """Once, all values of all outputs were shuffled and written by block, more than the disk holds at 25 outputs."""
+    names, runs = scattered_runs(spark, 400, 3)
+    runs = runs.coalesce(2)
+    tagged = []
+    plain = type(runs).mapInArrow
+
+    def watched(self, f, schema):
+        out = plain(self, f, schema)
+        if "_sums" in str(schema):
+            tagged.append(out)
+        return out
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(runs), "mapInArrow", watched)
+        sensitivity.analyse_outputs(runs, names, ["y0", "y1", "y2"]).collect()
+    assert tagged[0].where("_y is not null").count() == 0 and tagged[0].where("_sums is null").count() == 400
+
+
+@pytest.mark.parametrize("spoil", [lambda r: r.where("NOT (block_id = 7 AND role = 'A')"), lambda r: r.unionByName(r.where("block_id = 7")), lambda r: r.withColumn("role", F.when((F.col("block_id") == 7) & (F.col("role") == "A"), "other").otherwise(F.col("role")))])
+def test_spoilt_blocks_are_an_error_in_the_study(spark, spoil):
+    names, runs = scattered_runs(spark, 40, 1)
+    with pytest.raises(Exception, match="incomplete or doubled roles in block 7"):
+        sensitivity.analyse_outputs(spoil(runs), names, ["y0"]).collect()
