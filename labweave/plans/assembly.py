@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from labweave.fixed_values import (
     CODED_SHEET_NAMES, FEATURE_CODES, LAB_SHEET_NAMES, MATERIALS, METHODS, ROLES, TARGETS, UNIFIED_SCHEMA,
 )
-from labweave.functions.cleaning import tag_source, to_number
+from labweave.functions.cleaning import strip, tag_source, to_number
 from labweave.operators.chemistry import first_energy
 from labweave.operators.columns import conform, quoted, rename
 from labweave.operators.combine import union_conformed
@@ -49,6 +49,13 @@ def attach_adsorption(table: DataFrame, documents: DataFrame) -> DataFrame:
     """First CO adsorption energy per material, next to each role's type column."""
     energies = first_energy(documents)
     small = bounded_copy(energies)
+    if small is None:
+        # the documents name more materials than fit; only those that the table names can be met
+        types = [strip(F.col(quoted(f"{role} type"))) for role in ROLES if f"{role} type" in table.columns]
+        named = table.select(F.explode(F.array(*types)).alias("_named")).where("_named is not null").distinct()
+        few = bounded_copy(named)
+        energies = energies.join(named if few is None else F.broadcast(few), F.col("material") == F.col("_named"), "left_semi")
+        small = bounded_copy(energies)
     for role, name in zip(ROLES, ("Active component", "Promoter", "Support a type", "Support b type")):
         table = lookup_after(
             table, energies if small is None else small, f"{role} type", "material", "energy", f"{name} adsorption energy",

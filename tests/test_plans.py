@@ -128,3 +128,21 @@ def test_stream_scoring(spark, tmp_path):
     score_stream(stream, model, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     scored = spark.read.parquet(str(tmp_path / "out"))
     assert scored.count() == 50 and scored.filter(F.abs(F.col("prediction") - F.col("label")) > 1e-6).count() == 0
+
+
+def test_many_documents_cost_the_assembly_no_shuffle_of_rows(spark, monkeypatch):
+    """Once, documents on more materials than fit in a copy had every row of the table shuffled for each of the four roles."""
+    from labweave.operators import lookup
+    from labweave.plans import assembly
+
+    monkeypatch.setattr(assembly, "bounded_copy", lambda df: lookup.bounded_copy(df, 20))
+    item = "struct(struct('CO' AS formula) AS adsorbate_species, true AS is_most_stable_site, CAST(id AS DOUBLE) AS adsorption_energy, " \
+        "struct(struct(CASE id WHEN 5 THEN 'Ni' WHEN 6 THEN 'Al2O3' ELSE concat('m', id) END AS name) AS bulk_surface_material) AS bulk_surface_property_set)"
+    documents = spark.range(1, 100).selectExpr("id AS doc", f"array(struct({item} AS adsorption_measurement)) AS results")
+    rows = [(" Ni ", "Al2O3"), (None, "Al2O3"), ("Co", None), ("m50", "Ni")]
+    table = spark.createDataFrame(rows, "`Active component type` string, `Support a type` string")
+    out = assembly.attach_adsorption(table, documents)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" not in plan and "Aggregate" not in plan
+    got = [(r["Active component adsorption energy"], r["Support a type adsorption energy"]) for r in out.collect()]
+    assert got == [(5.0, 6.0), (0.0, 6.0), (0.0, 0.0), (50.0, 5.0)]
