@@ -316,3 +316,25 @@ def test_spoilt_blocks_are_an_error_in_the_study(spark, spoil):
     names, runs = scattered_runs(spark, 40, 1)
     with pytest.raises(Exception, match="incomplete or doubled roles in block 7"):
         sensitivity.analyse_outputs(spoil(runs), names, ["y0"]).collect()
+
+
+def test_searches_and_stacks_read_their_input_once(spark):
+    """Once, every fit of a stack and every step before a search made the feature table anew."""
+    from labweave.plans.modelling import tune_and_fit
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    def source():
+        rows = spark.range(200).selectExpr("id", "CAST(id % 17 AS DOUBLE) AS a", "CAST(id % 5 AS DOUBLE) AS b", "CAST(id % 17 + 0.1 * (id % 5) AS DOUBLE) AS label")
+        return rows.mapInArrow(counted, rows.schema)
+
+    data = prep.assembler(["a", "b"]).transform(source().withColumn("fold", (F.col("id") % 3).cast("int")))
+    validation.fit_stacking(data, {"one": lambda _: LinearRegression(), "two": lambda _: LinearRegression(regParam=0.1)}, folds=3)
+    assert read.value == 200
+    tune_and_fit(source(), ["a", "b"], "label", "id", "BR", {"n_trees": (1, 2), "max_depth": (1, 2)}, 1, folds=2)
+    assert read.value == 400
