@@ -22,9 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labweave.llm.arrays import WHITE_SPACE, text_blocks, word_bounds, word_hashes
+from labweave.session import bound_batches
 
 LEAST_WORDS, LEAST_REPEATS = 6, 4
-SLICE_BYTES = 1 << 21
+#: Bytes of texts that a task looks at together.
+SLICE_BYTES = 1 << 18
 
 
 def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -166,7 +168,7 @@ def periodic_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     def run(batches):
         kind = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
         for batch in batches:
-            for first, data, offsets in text_blocks(batch.column(1)):
+            for first, data, offsets in text_blocks(batch.column(1), SLICE_BYTES):
                 rows = len(offsets) - 1
                 starts, ends = word_bounds(data, offsets, WHITE_SPACE)
                 heads = np.searchsorted(starts, offsets)
@@ -180,6 +182,7 @@ def periodic_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 texts = pa.array(collapsed, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), runs, texts], ["key", "runs", "collapsed"])
 
+    bound_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     out = f"key {kind}, runs array<struct<start: bigint, length: bigint, period: bigint>>, collapsed string"
     return docs.select(key, text).mapInArrow(run, out).withColumnRenamed("key", key)

@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,3 +261,15 @@ def test_odd_texts(spark):
     assert periodic_runs.periodic_runs(spark.createDataFrame([], DOCS)).count() == 0
     tails = periodic_runs.looped_tails(odd_columns(spark.createDataFrame(rows + [(i, "p q r s t u v w x y z") for i in range(100, 140)], DOCS))).collect()
     assert all((plain_words(r["text"]) == looped(r["doc_id"], dict(rows).get(r["doc_id"], "p q r s t u v w x y z"))) for r in tails if r["doc_id"] is not None)
+
+
+def test_a_task_is_given_few_long_texts_at_a_time(spark):
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab c "), 2000).alias("text"))
+    found = periodic_runs.periodic_runs(docs)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    assert max(r["n"] for r in docs.mapInArrow(sizes, "n long").collect()) < 5 << 20  # all 30 MB before
+    assert found.where("size(runs) = 1 and runs[0].length = 4000 and runs[0].period = 2").count() == 3000
