@@ -12,6 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Transformer
 from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import DataFrame, SparkSession
@@ -83,6 +84,9 @@ def _from_root(tree: Tree) -> list[int]:
 
 # --- exact Shapley values of trees
 
+#: Features on a path up to which all patterns of them are listed.
+FEW = 8
+
 
 def _extended(one: np.ndarray, zero: np.ndarray) -> np.ndarray:
     """Coefficients of the product of ``zero[k] + one[k] t`` for every pattern: the weight of the path's subsets by size."""
@@ -139,11 +143,15 @@ def tree_shapley_values(x: np.ndarray, trees: Sequence[Tree], base: float) -> np
 def _add_leaf(out: np.ndarray, value: float, zero: Mapping[int, float], one: Mapping[int, np.ndarray]) -> None:
     names, d = list(zero), len(zero)
     held = np.stack([one[f] for f in names], axis=1)
-    if d <= 62:
+    if d <= FEW:  # all patterns there can be, in place of a sort of the rows
+        ones, pattern = (np.arange(1 << d)[:, None] >> np.arange(d) & 1).astype(float), held @ (1 << np.arange(d, dtype=np.int64))
+    elif d <= 62:
         _, first, pattern = np.unique(held @ (1 << np.arange(d, dtype=np.int64)), return_index=True, return_inverse=True)
     else:
         _, first, pattern = np.unique(held, axis=0, return_index=True, return_inverse=True)
-    ones, zeros = held[first].astype(float), np.array([zero[f] for f in names])
+    if d > FEW:
+        ones = held[first].astype(float)
+    zeros = np.array([zero[f] for f in names])
     sums = _extended(ones, zeros)
     weight = np.array([math.factorial(s) * math.factorial(d - 1 - s) / math.factorial(d) for s in range(d)])
     for j, f in enumerate(names):
@@ -156,10 +164,12 @@ def shapley_column(df: DataFrame, features: Sequence[str], model: Transformer) -
     base, trees = tree_ensemble(model)
     shared = df.sparkSession.sparkContext.broadcast((base, trees))
 
-    @F.pandas_udf("array<double>")
-    def values(*columns: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def values(*columns: pa.Array) -> pa.Array:
         base, trees = shared.value
-        return pd.Series(list(tree_shapley_values(np.column_stack([c.to_numpy(dtype=float) for c in columns]), trees, base)))
+        x = np.column_stack([np.asarray(c.to_numpy(zero_copy_only=False), float) for c in columns])
+        found = tree_shapley_values(x, trees, base)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * found.shape[1], pa.int32()), pa.array(found.ravel()))
 
     return values
 

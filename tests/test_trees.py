@@ -6,6 +6,7 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
@@ -286,3 +287,38 @@ def test_kernel_shapley_of_models(spark, rows):
     assert {r["feature"] for r in one.collect()} == {"a", explain.BASE}
     with pytest.raises(ValueError, match="no background"):
         shapley.kernel_shapley(few.where("false"), "k", NAMES, tree)
+
+
+def test_binned_rows_lie_many_to_a_record(spark):
+    made = spark.range(0, 5000, 1, 2).select(F.array((F.col("id") % 7).cast("double"), (F.col("id") % 3).cast("double")).alias("x"), F.col("id").cast("double").alias("y"), "id")
+    for drawn in (True, False):
+        data = histogram_trees.BinnedRows(made, histogram_trees.feature_edges(made, 2, 255), drawn)
+        assert data.rows.count() == 2  # one for each task, 5000 before
+        growing = histogram_trees.Growing(histogram_trees.Spec(1, np.array([0, 1]), "all"), histogram_trees.DEFAULTS, data.sizes)
+        got = data.histograms([growing], [[0]], 2.0, [])[0][0]
+        data.subtract(2.0, [])
+        assert (data.histograms([growing], [[0]], 0.0, [])[0][0] == got).all()
+        want = np.zeros((2, 7, 2))
+        for i in range(5000):
+            for j, b in enumerate((i % 7, i % 3)):
+                want[j, b] += 2.0 - i, 1
+        assert (got == want).all()
+
+
+def test_chunks_keep_all_rows_in_order(monkeypatch):
+    monkeypatch.setattr(histogram_trees, "CHUNK", 10)
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, b))], ["v"]) for a, b in ((0, 3), (3, 3), (3, 26), (26, 30), (30, 31))]
+    got = list(histogram_trees._chunks(iter(batches)))
+    assert [b.num_rows for b in got] == [10, 10, 10, 1]
+    assert [v for b in got for v in b.column(0).to_pylist()] == list(range(31))
+
+
+def test_listed_patterns_give_the_sorted_ones_values(made, monkeypatch):
+    rng = np.random.default_rng(4)
+    tree = Tree(
+        np.array([0, 1, 2, -1, -1, 0, -1, -1, -1]), np.array([12.0, 2, 0, 0, 0, 5, 0, 0, 0]), np.array([1, 3, 5, -1, -1, 6, -1, -1, -1]),
+        np.array([2, 4, 8, -1, -1, 7, -1, -1, -1]), rng.normal(size=9), np.array([10.0, 6, 4, 5, 1, 3, 0, 3, 1]), np.ones(9),
+    )
+    listed = shapley.tree_shapley_values(made[0], [tree], 1.5)
+    monkeypatch.setattr(shapley, "FEW", 0)
+    assert np.array_equal(listed, shapley.tree_shapley_values(made[0], [tree], 1.5))
