@@ -135,6 +135,22 @@ def test_elimination_keeps_the_signal(spark, numbers):
     assert sizes[1] is None and all(sizes[n] is not None for n in (2, 3, 4))
 
 
+def test_elimination_fits_no_fold_and_features_twice(spark, numbers):
+    df, fitted = with_fold(numbers[0], "id", 3), []
+
+    def build(train):
+        fitted.append(train)
+        return regressors.random_forest(n_trees=4, max_depth=4)
+
+    _, curve = validation.eliminate_features(df, FEATURES, build, folds=3, min_features=3)
+    # paths of two sizes on three folds and one on all rows; the curve adds what a path left out, here at most the smaller size
+    assert len(fitted) <= 3 * 2 + 2 + 3
+    whole = Pipeline(stages=[prep.assembler(FEATURES), regressors.random_forest(n_trees=4, max_depth=4)])
+    want = validation.cross_validate(df, lambda _: whole, 3).agg(F.avg("r2"), F.avg("rmse")).first()
+    got = {r.n_features: r for r in curve.collect()}[len(FEATURES)]
+    assert (got.r2, got.rmse) == pytest.approx(tuple(want))
+
+
 def test_search_keeps_failed_trials(spark, numbers):
     df = prep.assembler(FEATURES).transform(with_fold(numbers[0], "id", 2))
     got = validation.search(df, regressors.gradient_boosting, [{"n_trees": 3}, {"n_trees": -1}], folds=2).orderBy("trial").collect()
