@@ -61,13 +61,20 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Vocabulary:
-    """Sorted term hashes, with a table of leading bits that turns most other terms away."""
+    """Sorted term hashes, with a table of leading bits that turns most other terms away; it is laid out where texts are read."""
 
     def __init__(self, hashes: np.ndarray):
         self.hashes = hashes
         self.bits = (1 << max(16, (8 * len(hashes)).bit_length())) - 1
-        self.table = np.zeros(self.bits + 1, bool)
-        self.table[hashes & self.bits] = True
+
+    @cached_property
+    def table(self) -> np.ndarray:
+        out = np.zeros(self.bits + 1, bool)
+        out[self.hashes & self.bits] = True
+        return out
+
+    def __getstate__(self) -> dict:
+        return {name: value for name, value in self.__dict__.items() if name != "table"}
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, term and number of occurrences of the vocabulary's terms, by row and term; each distinct word is looked up once."""

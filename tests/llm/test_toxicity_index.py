@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 import random
 import re
 from collections import Counter
@@ -113,3 +114,11 @@ def test_examples_are_bounded_by_bytes():
     assert toxicity.within_bytes(rows, 100) == [(2, 0), (4, 1)]
     assert toxicity.within_bytes(rows, 10_000) == [(1, 0), (2, 0), (3, 0), (4, 1), (5, 1), (6, 0)]
     assert toxicity.within_bytes([], 5) == []
+
+
+def test_lookup_table_is_not_sent():
+    vocabulary = toxicity.Vocabulary(np.sort(np.random.default_rng(5).integers(-(1 << 62), 1 << 62, 20_000)))
+    table = vocabulary.table.copy()
+    sent = pickle.dumps(vocabulary)
+    assert len(sent) < 8 * 20_000 + 2_000 < len(table)
+    assert np.array_equal(pickle.loads(sent).table, table)
