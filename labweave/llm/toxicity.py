@@ -10,6 +10,7 @@ a logistic curve turns votes into a probability. It is fitted on the examples th
 text would meet the others, and once with it, as an exact copy would.
 
 Bounds: ``per_label`` examples and ``per_label_bytes`` bytes of text of each class; index and vocabulary are as large as these make them.
+The driver gets the examples as places in the vocabulary, four bytes a term, and weighs and sorts them a part at a time.
 
 Defined cases: terms that no example has count for nothing, in the norm neither; null and empty texts, and texts without any term of
 the vocabulary, have no neighbours and get the share of the label
@@ -133,12 +134,19 @@ class BlockMaxIndex:
         own = own[np.argsort(weights[own], kind="stable")]
         heaviest = np.full(n_rows, -1)
         heaviest[rows[own]] = cols[own]
+        del own
         order = np.lexsort((np.arange(n_rows), heaviest)).astype(np.int32)
         place = np.empty(n_rows, np.int32)
         place[order] = np.arange(n_rows, dtype=np.int32)
-        place = place[rows]
-        by_term = np.lexsort((place, cols))
-        return cls(np.append(0, np.cumsum(times)), place[by_term], weights[by_term].astype(np.float32), common, order, block)
+        heads = np.append(0, np.cumsum(times))
+        examples, kept = np.empty(len(cols), np.int32), np.empty(len(cols), np.float32)
+        cuts = np.searchsorted(heads, np.linspace(0, len(cols), PARTS // 16 + 1)[:-1].astype(int))
+        for a, b in zip(cuts, np.append(cuts[1:], n_terms), strict=True):  # some terms at a time, so that little is sorted together
+            some = np.flatnonzero((cols >= a) & (cols < b))
+            at = place[rows[some]]
+            by_term = np.lexsort((at, cols[some]))
+            examples[heads[a] : heads[b]], kept[heads[a] : heads[b]] = at[by_term], weights[some[by_term]]
+        return cls(heads, examples, kept, common, order, block)
 
     @property
     def blocks(self) -> int:
@@ -163,6 +171,11 @@ class BlockMaxIndex:
     def __getstate__(self) -> dict:
         return {name: value for name, value in self.__dict__.items() if name not in ("dense", "largest")}
 
+    def forget(self) -> None:
+        """Drops what is laid out again where the index is used next."""
+        self.__dict__.pop("dense", None)
+        self.__dict__.pop("largest", None)
+
     def lengths(self, cols: np.ndarray) -> np.ndarray:
         """How many postings are read of each term."""
         return np.where(self.common[cols] < 0, self.heads[cols + 1] - self.heads[cols], 0)
@@ -241,15 +254,16 @@ class ToxicityModel:
         norms = np.sqrt(np.bincount(rows, weights * weights, n))
         return weights / np.where(norms > 0, norms, 1)[rows]
 
-    def neighbours(self, heads: np.ndarray, cols: np.ndarray, weights: np.ndarray, without_self: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """The nearest examples of every row that has terms, with their cosines."""
+    def neighbours(self, heads: np.ndarray, cols: np.ndarray, weights: np.ndarray, selves: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The nearest examples of every row that has terms, with their cosines; ``selves`` are the examples that rows are, left out."""
         for first in range(0, len(heads) - 1, TOGETHER):
             part = heads[first : first + TOGETHER + 1]
             rows = first + np.flatnonzero(np.diff(part))
             if len(rows):
-                own, none = slice(part[0], part[-1]), np.full(len(rows), -1)
+                own = slice(part[0], part[-1])
+                without = np.full(len(rows), -1) if selves is None else selves[rows]
                 ends = np.append(heads[rows], part[-1]) - part[0]
-                found = self.index.nearest_of_all(ends, cols[own], weights[own], NEIGHBOURS, rows if without_self else none)
+                found = self.index.nearest_of_all(ends, cols[own], weights[own], NEIGHBOURS, without)
                 yield from ((int(r), *x) for r, x in zip(rows, found, strict=True))
 
     def vote(self, best: np.ndarray, cosines: np.ndarray) -> tuple[float, float]:
@@ -296,33 +310,50 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return beta
 
 
-def _example_terms(rows: DataFrame) -> pa.Table:
-    """``key``, and as bytes the distinct ``terms`` of each example and how often each occurs in it, ``times``; bounded by the examples."""
+def _example_hashes(rows: DataFrame) -> np.ndarray:
+    """All distinct terms of the examples, sorted; bounded by the examples."""
+
+    def run(batches):
+        for batch in batches:
+            for _, data, offsets in text_blocks(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(terms(data, offsets)[1]))], ["term"])
+
+    return np.sort(rows.select("text").mapInArrow(run, "term bigint").distinct().toArrow()["term"].to_numpy())
+
+
+def _example_terms(rows: DataFrame, vocabulary: Vocabulary) -> pa.Table:
+    """``key``, and as bytes the places in the vocabulary of each example's ``terms`` and how often each occurs in it, ``times``; these
+    take one byte each where that is enough for the example, else four."""
+    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
+        vocabulary = shared.value
         for batch in batches:
-            for row, data, offsets in text_blocks(batch.column(1)):
-                at, hashes = terms(data, offsets)
-                order = np.lexsort((hashes, at))
-                at, hashes = at[order], hashes[order]
-                fresh = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (hashes[1:] != hashes[:-1]))[: len(at)])
-                times = np.diff(np.append(fresh, len(at))).astype(np.int32)
-                cuts = np.searchsorted(at[fresh], np.arange(len(offsets)))
-                parts = [[x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] for x in (hashes[fresh], times)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(cuts) - 1), *(pa.array(x, pa.binary()) for x in parts)], ["key", "terms", "times"])
-
-    return rows.select("key", "text").mapInArrow(run, "key bigint, terms binary, times binary").toArrow()
-
-
-def _flat(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """How many values each row of a column of bytes holds, and all values in order."""
-    sizes, values = [np.zeros(0, np.int64)], [np.zeros(0, kind)]
-    for chunk in column.chunks:
-        ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
-        sizes.append(np.diff(ends).astype(np.int64) // np.dtype(kind).itemsize)
-        if ends[-1] > ends[0]:
-            values.append(np.frombuffer(chunk.buffers()[2][int(ends[0]) : int(ends[-1])], kind))
-    return np.concatenate(sizes), np.concatenate(values)
+            for row, data, offsets in text_blocks(batch.column(1), TEXT_BYTES):
+                at, cols, times = vocabulary.counts(data, offsets)
+                cuts = np.searchsorted(at, np.arange(len(offsets)))
+                parts = [(cols[a:b], times[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                listed = [c.astype(np.int32).tobytes() for c, _ in parts], [t.astype(np.uint8 if t.max(initial=0) < 256 else np.int32).tobytes() for _, t in parts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(parts)), *(pa.array(x, pa.binary()) for x in listed)], ["key", "terms", "times"])
+
+    found = rows.select("key", "text").mapInArrow(run, "key bigint, terms binary, times binary").toArrow()
+    shared.destroy()
+    return found
+
+
+def _postings(found: pa.Table, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term and number of occurrences of ``_example_terms`` by row, the place of the example in ``ids``, and term."""
+    order = np.argsort(found["key"].to_numpy(), kind="stable")
+    sizes, cols, times = [], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for i in order.tolist():
+        own = np.frombuffer(found["terms"][i].as_buffer(), np.int32)
+        said = found["times"][i].as_buffer()
+        sizes.append(len(own))
+        cols.append(own)
+        times.append(np.frombuffer(said, np.uint8 if said.size == len(own) else np.int32))
+    rows = np.repeat(np.searchsorted(ids, found["key"].to_numpy()[order]).astype(np.int32), sizes)
+    narrow = np.uint8 if all(x.dtype == np.uint8 for x in times[1:]) else np.int32
+    return rows, np.concatenate(cols), np.concatenate(times, dtype=narrow, casting="unsafe")
 
 
 def _document_frequencies(docs: DataFrame, vocabulary: Vocabulary, text: str) -> tuple[np.ndarray, int]:
@@ -386,29 +417,35 @@ def fit(
     stands_for = {v: stands_for.get(v, 1.0) * before[v] / max(1, after[v]) for v in (0, 1)}
     ids, y = np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], np.float64)
     n, positive = len(y), float(y.sum())
-    found = _example_terms(chosen if len(examples) == len(listed) else chosen.where(F.col("key").isin(ids.tolist())))
-    sizes, times = _flat(found["times"], np.int32)
-    rows = np.repeat(np.searchsorted(ids, found["key"].to_numpy()).astype(np.int32), sizes)
-    hashes, cols = np.unique(_flat(found["terms"], np.int64)[1], return_inverse=True)
-    cols = cols.astype(np.int32)
-    del found
-    order = np.lexsort((cols, rows))
-    rows, cols, times = rows[order], cols[order], times[order]
-    del order
+    chosen = chosen if len(examples) == len(listed) else chosen.where(F.col("key").isin(ids.tolist()))
+    hashes = _example_hashes(chosen)
     vocabulary = Vocabulary(hashes)
+    rows, cols, times = _postings(_example_terms(chosen, vocabulary), ids)
     frequency, total = _document_frequencies(docs, vocabulary, text)
     idf = (np.log((1 + total) / (1 + frequency)) + 1e-3) * label_shares(cols, y[rows], y, len(hashes))
     model = ToxicityModel(vocabulary, idf, None, y, ids, 0.0, np.zeros(4))
-    weights = model.vectors(rows, times, cols, n)
+    heads = np.searchsorted(rows, np.arange(n + 1))
+    parts = [(a, min(a + TOGETHER, n)) for a in range(0, n, TOGETHER)]
+
+    def vectors(a: int, b: int) -> np.ndarray:  # of some examples at a time, as the wide numbers of all take room
+        own = slice(heads[a], heads[b])
+        return model.vectors(rows[own] - a, times[own].astype(np.int64), cols[own], b - a)
+
+    weights = np.empty(len(cols), np.float32)
+    for a, b in parts:
+        weights[heads[a] : heads[b]] = vectors(a, b)
     model.index = BlockMaxIndex.build(rows, cols, weights, n, len(hashes))
+    del weights
     weight = np.array([stands_for[int(v)] for v in y])
-    votes, voters, copies, heads = [], [], [], np.searchsorted(rows, np.arange(n + 1))
+    votes, voters, copies = [], [], []
     with_terms = np.flatnonzero(np.diff(heads))
-    for r, best, cosines in model.neighbours(heads, cols, weights, without_self=True):
-        copies.append(model.vote(np.append(r, best[: NEIGHBOURS - 1]), np.append(1.0, cosines[: NEIGHBOURS - 1])))
-        if len(best):
-            votes.append(model.vote(best, cosines))
-            voters.append(r)
+    for a, b in parts:
+        own = slice(heads[a], heads[b])
+        for r, best, cosines in model.neighbours(heads[a : b + 1] - heads[a], cols[own], vectors(a, b), np.arange(a, b)):
+            copies.append(model.vote(np.append(a + r, best[: NEIGHBOURS - 1]), np.append(1.0, cosines[: NEIGHBOURS - 1])))
+            if len(best):
+                votes.append(model.vote(best, cosines))
+                voters.append(a + r)
     alone = np.setdiff1d(np.arange(n), voters)
     model.share = float((weight[alone] @ y[alone] + 0.5) / (weight[alone].sum() + 1)) if len(alone) else float((weight @ y) / max(weight.sum(), 1))
     if not positive:
@@ -419,6 +456,7 @@ def fit(
     elif len(seen):
         p = min(max(float((weight @ y) / weight.sum()), 1e-6), 1 - 1e-6)
         model.curve = np.array([np.log(p / (1 - p)), 0, 0, 0])
+    model.index.forget()
     return model
 
 

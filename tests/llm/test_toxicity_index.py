@@ -122,3 +122,20 @@ def test_lookup_table_is_not_sent():
     sent = pickle.dumps(vocabulary)
     assert len(sent) < 8 * 20_000 + 2_000 < len(table)
     assert np.array_equal(pickle.loads(sent).table, table)
+
+
+def test_driver_holds_examples_narrow(spark):
+    """Four bytes for a term's place and one for its times, four for those of a text that repeats a term often; no matrix stays laid out."""
+    texts = [t or "word" for t in made_texts(40, 3)] + ["often " * 300 + "once"]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    rows = docs.withColumnRenamed("doc_id", "key")
+    vocabulary = toxicity.Vocabulary(toxicity._example_hashes(rows))
+    found = toxicity._example_terms(rows, vocabulary)
+    bytes_of = {k.as_py(): (len(a.as_py()), len(n.as_py())) for k, a, n in zip(found["key"], found["terms"], found["times"], strict=True)}
+    counted = [plain_terms(t) for t in texts]
+    assert len(vocabulary.hashes) == len(set().union(*counted))
+    assert bytes_of == {i: (4 * len(c), len(c) * (4 if i == 40 else 1)) for i, c in enumerate(counted)}
+    at, _, times = toxicity._postings(found, np.arange(41))
+    assert [sorted(times[at == i].tolist()) for i in range(41)] == [sorted(c.values()) for c in counted]
+    model = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(41)], "doc_id bigint, toxic int"))
+    assert not {"dense", "largest"} & set(model.index.__dict__)
