@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
 import labweave.ml.imputer as imputer_module
@@ -158,6 +158,24 @@ def test_search_keeps_failed_trials(spark, numbers):
     assert validation.best_candidate(validation.search(df, regressors.gradient_boosting, [{"n_trees": 2}], folds=2), [{"n_trees": 2}]) == {"n_trees": 2}
 
 
+def test_forests_of_a_search_grow_side_by_side(spark, numbers, monkeypatch):
+    """No fit of its own for any trial and fold, and scores like those of Spark's forests; rows with nulls still take the fits."""
+    df = prep.assembler(FEATURES).transform(with_fold(numbers[0], "id", 3)).persist()
+    trials = [{"n_trees": 8, "max_depth": 5, "min_leaf": 4}, {"n_trees": 1, "max_depth": 3}, {"n_trees": 6, "max_depth": 1, "row_fraction": 0.5}]
+    want = [validation.cross_validate(df, lambda _: regressors.random_forest(**t), 3).agg(F.avg("r2")).first()[0] for t in trials]
+    fits, fit = [], RandomForestRegressor.fit
+    monkeypatch.setattr(RandomForestRegressor, "fit", lambda self, *given: fits.append(1) or fit(self, *given))
+    got = validation.search(df, regressors.random_forest, trials, folds=3).orderBy("trial").collect()
+    assert not fits and [r.status for r in got] == ["ok"] * 3 and all(r.std_score >= 0 for r in got)
+    assert [r.mean_score for r in got] == pytest.approx(want, abs=0.06)
+    gaps = df.withColumn("label", F.when(F.col("id") % 7 > 0, F.col("label")))
+    validation.search(gaps, regressors.random_forest, trials[1:2], folds=3)
+    assert fits
+    torn = prep.assembler(FEATURES).transform(with_fold(numbers[0].withColumn("a", F.when(F.col("id") != 5, F.col("a"))), "id", 3))
+    (one,) = validation.search(torn, regressors.random_forest, trials[1:2], folds=3).collect()
+    assert one.status.startswith("failed") and one.mean_score is None
+
+
 def test_draws():
     many = validation.draw_choices({"a": [1, 2, 3], "b": ["x", None]}, 100)
     assert len(many) == 6 and len({tuple(p.items()) for p in many}) == 6
