@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
@@ -158,13 +161,22 @@ def x4_exact(spark, sf):
 
 @query("x4_exact_additivity", "SELECT l_orderkey AS k, 0.0::DOUBLE AS gap FROM lineitem")
 def x4_additivity(spark, sf):
-    """Exact Shapley values of a deep boosted model, and of Spark's own: contributions and base add up to the prediction of every row."""
+    """Exact Shapley values of a deep boosted model, and of Spark's own: contributions and base add up to the prediction of every row.
+
+    The gap is the larger one of the two models.
+    """
     rows = lines(spark, sf)
-    own = regressors.leafwise_boosting(n_trees=4, num_leaves=12).fit(rows)
-    gaps = own.transform(rows)
+    own = regressors.leafwise_boosting(n_trees=4, num_leaves=12).fit(rows).setPredictionCol("own")
+    # Spark's learner stops at a label or feature that is no finite number; such rows are not trained on, but explained like all others
+    finite = reduce(and_, [F.abs(c) < float("inf") for c in (*LINE_FEATURES, "label")])
+    sparks = regressors.gradient_boosting(n_trees=4, max_depth=5).fit(rows.where(finite)).setPredictionCol("sparks")
+    gaps = sparks.transform(own.transform(rows))
     names = [F.col(f"`{c}`") for c in LINE_FEATURES]
-    total = F.aggregate(shapley.shapley_column(gaps, LINE_FEATURES, own)(*names), F.lit(0.0), lambda a, b: a + b)
-    return gaps.select(F.col("l_orderkey").alias("k"), r(F.abs(total - F.col("prediction"))).alias("gap"))
+    found = []
+    for model in (own, sparks):
+        total = F.aggregate(shapley.shapley_column(gaps, LINE_FEATURES, model)(*names), F.lit(0.0), lambda a, b: a + b)
+        found.append(F.abs(total - F.col(model.getPredictionCol())))
+    return gaps.select(F.col("l_orderkey").alias("k"), r(F.greatest(*found)).alias("gap"))
 
 
 KERNEL_SQL = f"""

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import functions as F
 
 from labweave.ml import explain, histogram_trees, prep, regressors, shapley
@@ -16,6 +17,7 @@ from labweave.ml.foreign import FunctionModel
 from labweave.ml.histogram_trees import HistogramTrees, drawn_specs, poisson_weights, uniform
 from labweave.ml.trees import Tree, TreeEnsembleModel
 from labweave.session import shared_dir
+from labweave.suite import trees as suite
 
 NAMES = ["a", "b", "c"]
 
@@ -256,6 +258,27 @@ def test_tree_shapley_of_spark_models(spark, rows):
         assert np.allclose(line, shapley.dependence_of(trees, base, np.array([[1.0], [2.0]]), [0]))
 
 
+def test_additivity_is_asked_of_the_own_and_of_sparks_model(spark, tmp_path, monkeypatch):
+    made = [(i // 3 or None, 1.0 + i % 50, i % 11 / 100, i % 9 / 100, 1 + i % 7, None if i % 40 == 0 else 1000.0 * (i % 50) * (1 + i % 11 % 2)) for i in range(600)]
+    frame = spark.createDataFrame(made, "l_orderkey bigint, l_quantity double, l_discount double, l_tax double, l_linenumber int, l_extendedprice double")
+    frame.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = lambda: sorted(((r["k"] or 0, r["gap"]) for r in suite.x4_additivity(spark, str(tmp_path)).collect()))
+    assert got() == [(i // 3, 0.0) for i in range(600)]
+    read, trees = shapley.tree_ensemble, {}
+
+    def shifted(kind):
+        def ensemble(model):
+            base, trees[type(model)] = read(model)
+            return base + isinstance(model, kind), trees[type(model)]
+
+        return ensemble
+
+    for kind in (TreeEnsembleModel, GBTRegressionModel):
+        monkeypatch.setattr(shapley, "tree_ensemble", shifted(kind))
+        assert got() == [(i // 3, 1.0) for i in range(600)]  # a fault in either explanation shows in every row
+        assert len(trees[kind]) == 4 and min(t.n_leaves for t in trees[kind]) > 8
+
+
 def test_kernel_shapley_with_all_coalitions_equals_all_subsets():
     rng = np.random.default_rng(1)
     f = lambda x: x[:, 0] * x[:, 1] + 3 * x[:, 2] - x[:, 3] * x[:, 4] * x[:, 0]
